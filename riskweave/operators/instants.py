@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.runtime import small
+from riskweave.runtime import Cuts, small
 
 # First three letters of month names, Portuguese and English.
 MONTHS = {
@@ -82,7 +82,9 @@ def parse_moments(df: DataFrame, date: str, clock: str | None, out: str) -> Data
     bare = F.regexp_replace("_z", r"[^0-9]", "")
     offset = F.when(col("_z").isin("Z", "z", "UTC", "GMT"), 0).when(col("_z").rlike(r"^[+-]"), sign * (_int(F.substring(bare, 1, 2)) * 60 + F.coalesce(_int(F.nullif(F.substring(bare, 3, 2), F.lit(""))), F.lit(0))))
     epoch = F.when(col("_d").rlike(r"^\d{13}$"), col("_d").try_cast("long")).when(col("_d").rlike(r"^\d{9,10}$"), col("_d").try_cast("long") * 1000).when(col("_d").rlike(r"^\d{16}$"), F.floor(col("_d").try_cast("long") / 1000))
-    return x.select(*keep, F.struct(day.alias("day"), F.coalesce(ms, F.lit(0)).cast("long").alias("ms"), offset.alias("offset"), F.when(col("_z").isin(sorted(zoneinfo.available_timezones())) & offset.isNull(), col("_z")).alias("zone"), epoch.alias("instant")).alias(out))
+    x = x.select(*keep, "_z", day.alias("_day"), F.coalesce(ms, F.lit(0)).cast("long").alias("_ms"), offset.cast("int").alias("_offset"), epoch.alias("_instant"))
+    x = x.withColumn("_zone", F.when(col("_z").contains("/") & col("_z").isin(sorted(zoneinfo.available_timezones())), col("_z")))
+    return x.select(*keep, F.struct(col("_day").alias("day"), col("_ms").alias("ms"), col("_offset").alias("offset"), col("_zone").alias("zone"), col("_instant").alias("instant")).alias(out))
 
 
 def civil_to_instant(day: Column, ms: Column, zone: Column) -> Column:
@@ -104,19 +106,21 @@ def moment_to_instant(p: Column, civil_zone: Column) -> Column:
 def estimate_zones(df: DataFrame, group: Sequence[str], parsed: str, ingested: str, zones: DataFrame, zone_col: str) -> DataFrame:
     """group, zone, violations, rows: the candidate zone with the fewest violations per group.
 
-    ``zones`` is the bounded list of candidate zones (one row each), ``ingested``
-    the day of ingestion. A local time is a violation under a zone when its
-    instant lies after the end of the ingestion day, or more than a day and a
-    half before its start; ties go to the earlier local noon, then to the zone's
-    name. Rows are first counted per (group, civil hour, ingestion day), so the
-    candidates multiply compact states, not rows. Null groups form one group.
+    ``zones`` is the bounded list of candidate zones, ``ingested`` the day of
+    ingestion. Under a candidate a civil time is a violation when its instant
+    lies after the end of the ingestion day, or when the value names an offset
+    the candidate's history does not have at that time. Ties go to the earlier
+    local noon, then to the zone's name. Rows are first counted per (group,
+    civil hour, ingestion day, own offset), so the candidates multiply compact
+    states, not rows. Null groups form one group.
     """
-    hours = df.where(F.col(f"{parsed}.day").isNotNull() & F.col(ingested).isNotNull()).groupBy(*group, F.col(f"{parsed}.day").alias("_d"), (F.floor(F.col(f"{parsed}.ms") / 3_600_000)).alias("_h"), F.col(ingested).alias("_i")).agg(F.count(F.lit(1)).alias("_n"))
+    p = lambda f: F.col(f"{parsed}.{f}")
+    hours = df.where(p("day").isNotNull() & p("zone").isNull() & F.col(ingested).isNotNull()).groupBy(*group, p("day").alias("_d"), F.floor(p("ms") / 3_600_000).alias("_h"), F.col(ingested).alias("_i"), p("offset").alias("_o")).agg(F.count(F.lit(1)).alias("_n"))
     cand = zones.select(F.col(zone_col).alias("_z")).where(F.col("_z").isNotNull()).distinct().agg(F.array_sort(F.collect_list("_z")).alias("_zs"))
-    tried = hours.withColumn("_one", F.lit(1)).join(cand.withColumn("_one", F.lit(1)), "_one").select(*group, "_d", "_h", "_i", "_n", F.explode("_zs").alias("_z"))
-    at = civil_to_instant(F.col("_d"), F.col("_h") * 3_600_000, F.col("_z"))
-    start = F.unix_date("_i").cast("long") * _DAY_MS
-    bad = (at >= start + _DAY_MS) | (at < start - _DAY_MS - _DAY_MS // 2)
+    tried = hours.withColumn("_one", F.lit(1)).join(F.broadcast(cand.withColumn("_one", F.lit(1))), "_one").select(*group, "_d", "_h", "_i", "_o", "_n", F.explode("_zs").alias("_z"))
+    tried = tried.withColumn("_at", civil_to_instant(F.col("_d"), F.col("_h") * 3_600_000, F.col("_z")))
+    own = F.unix_date("_d").cast("long") * _DAY_MS + F.col("_h") * 3_600_000 - F.col("_o").cast("long") * 60_000
+    bad = F.when(F.col("_o").isNotNull(), own != F.col("_at")).otherwise(F.col("_at") >= (F.unix_date("_i").cast("long") + 1) * _DAY_MS)
     noon = civil_to_instant(F.make_date(F.lit(2025), F.lit(1), F.lit(1)), F.lit(_DAY_MS // 2).cast("long"), F.col("_z"))
     scored = tried.groupBy(*group, "_z").agg(F.sum(F.when(bad, F.col("_n")).otherwise(0)).alias("violations"), F.sum("_n").alias("rows"))
     best = F.min(F.struct("violations", noon.alias("_o"), F.col("_z").alias("zone"), "rows")).alias("_b")
@@ -139,13 +143,18 @@ def with_civil_zone(moments: DataFrame, zones: DataFrame) -> DataFrame:
     """Adds ``nm_fuso``: declared for (cd_pais_estn, sg_uf), else estimated from ingestion.
 
     The declared list is broadcast when its size allows, else joined by hash.
+    The parsed moments are written once; the estimate runs only where some
+    place has no declared zone.
     """
     key = lambda p, u: F.concat_ws("|", F.coalesce(p, F.lit("")), F.coalesce(u, F.lit("")))
     declared = zones.groupBy(key(F.col("cd_pais_estn"), F.col("sg_uf")).alias("_k")).agg(F.min("nm_fuso").alias("_z"))
     m = moments.withColumn("_k", key(F.col("cd_pais_estn"), F.col("sg_uf")))
     m = m.join(F.broadcast(declared) if small(zones) else declared, "_k", "left")
-    loose = F.col("_z").isNull() & F.col("p.offset").isNull() & F.col("p.zone").isNull() & F.col("p.instant").isNull()
-    guess = estimate_zones(m.where(loose), ["_k"], "p", "dia_crga", zones, "nm_fuso").select("_k", F.col("zone").alias("_g"))
+    m = Cuts(moments.sparkSession, "moments").put(m)
+    loose = m.where(F.col("_z").isNull() & F.col("p.zone").isNull() & F.col("p.instant").isNull())
+    if loose.isEmpty():
+        return m.withColumnRenamed("_z", "nm_fuso").drop("_k")
+    guess = estimate_zones(loose, ["_k"], "p", "dia_crga", zones, "nm_fuso").select("_k", F.col("zone").alias("_g"))
     return m.join(guess, "_k", "left").withColumn("nm_fuso", F.coalesce("_z", "_g")).drop("_k", "_z", "_g")
 
 

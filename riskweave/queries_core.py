@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.operators import delivery, history, instants, skew
-from riskweave.runtime import read
+from riskweave.runtime import Cuts, read
 
 HUB, CARDS, PIX = "tbciar_re_hub_dado_risc_cred", "tbciar_tr_lynx_trns_crto", "tbciar_tr_lynx_trns_pix"
 HEAVY_SHARE = 0.03
@@ -76,7 +76,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_zones(spark: SparkSession, d: str) -> DataFrame:
     """The zone estimated from ingestion for each place, whatever is declared."""
     zones = read(spark, d, "fuso_local")
-    m = instants.card_moments(read(spark, d, CARDS)).where("p.offset is null and p.zone is null and p.instant is null")
+    m = Cuts(spark, "moments").put(instants.card_moments(read(spark, d, CARDS)))
     return instants.estimate_zones(m, ["cd_pais_estn", "sg_uf"], "p", "dia_crga", zones, "nm_fuso")
 
 
