@@ -1,0 +1,167 @@
+"""Grammar of hand-typed names of persons and organisations.
+
+``parse_name`` splits one text into kind (P or O), given word, middle words and
+key word of a person, or key word, trade and addition of an organisation. It
+decides nothing about other records. Placeholders and empty texts give ``None``.
+"""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from riskweave.functions.addresses import PLACEHOLDERS, plain
+
+# Given names.
+GIVEN = set(
+    "ADRIANA ALEXANDRE ANA ANTONIO APARECIDA AUGUSTO BEATRIZ BENEDITO CARLOS CECILIA CONCEICAO COSME CRISTINA DAMIAO DANIELA DEBORA EDUARDO ESTEVAO EVARISTO FATIMA "
+    "FERNANDA FERNANDO FRANCISCO GABRIEL GABRIELA HELENA HELOISA HENRIQUE ICARO IRINEU ISABEL JACIRA JOAO JOAQUIM JOSE JULIANA KATIA LAZARO LEONARDO LIVIA LUCIANA LUIZ "
+    "MANUEL MARGARIDA MARIA MARIANA MONICA NAIR NELSON NORBERTO OLIVIA OSMAR OTAVIO PALMIRA PATRICIA PAULO PEDRO PERICLES QUERINO QUITERIA RAFAEL RAFAELA RAIMUNDO "
+    "ROBERTO RODRIGO ROMULO ROSANGELA SALETE SEBASTIAO SONIA TATIANA TERESA TULIO UBIRAJARA URSULA VALDIR VANESSA VICENTE VITOR WAGNER WILMA XENIA YASMIN ZELIA ZULEICA "
+    "LUIS LUCAS MARCOS MARCELO MARCIA PAULA RITA ROSA SERGIO TIAGO BRUNO CAMILA CARLA CLAUDIA DIEGO FABIO FELIPE GUSTAVO JULIO LARISSA LEANDRO RENATA RICARDO SANDRA SIMONE VERA".split()
+)
+# Short forms whose letters do not begin the given name.
+NICKNAMES = {
+    "BASTIAO": "SEBASTIAO", "TIAO": "SEBASTIAO", "BEL": "ISABEL", "BELINHA": "ISABEL", "BETO": "ROBERTO NORBERTO", "BIA": "BEATRIZ", "BIEL": "GABRIEL", "CACA": "CARLOS",
+    "CEICAO": "CONCEICAO", "CHICO": "FRANCISCO", "CHIQUINHO": "FRANCISCO", "KIKO": "FRANCISCO HENRIQUE", "CIDA": "APARECIDA", "CIDINHA": "APARECIDA", "DIGO": "RODRIGO", "DITO": "BENEDITO",
+    "DRI": "ADRIANA", "DRICA": "ADRIANA", "DUDU": "EDUARDO", "GUIDA": "MARGARIDA", "JOCA": "JOAO JOAQUIM JOSE", "LENINHA": "HELENA", "LENA": "HELENA", "MUNDINHO": "RAIMUNDO", "NANDA": "FERNANDA",
+    "NANDO": "FERNANDO", "NECO": "MANUEL", "PEPE": "PERICLES PEDRO JOSE", "QUIM": "JOAQUIM", "QUINCAS": "JOAQUIM", "RIQUE": "HENRIQUE", "ROSA": "ROSANGELA", "TECA": "TERESA", "TONHO": "ANTONIO",
+    "TONINHO": "ANTONIO", "TONICO": "ANTONIO", "XANDE": "ALEXANDRE", "ZE": "JOSE", "ZECA": "JOSE", "ZEZE": "JOSE", "DEBINHA": "DEBORA", "TUCA": "TULIO", "NENA": "HELENA",
+    "ZINHO": "JOSE", "MANECO": "MANUEL", "MANE": "MANUEL", "LULU": "LUCIANA LUIZ", "JUCA": "JOSE JOAQUIM", "PATI": "PATRICIA", "GUTO": "AUGUSTO", "GABI": "GABRIELA", "SANDRO": "ALEXANDRE", "NINA": "CRISTINA",
+}
+# Trades and their written forms.
+TRADES = {f: t for t, fs in {
+    "PAPELARIA": "PAPELARIA PAPELAR PAPEL", "MERCEARIA": "MERCEARIA MERCEAR MERC", "SUPERMERCADO": "SUPERMERCADO SUPERM SUPER", "ELETRONICOS": "ELETRONICOS ELETRON ELETR", "BEBIDAS": "BEBIDAS BEB",
+    "CLINICA": "CLINICA CLIN", "PECAS": "PECAS AUTOPECAS", "TRANSPORTES": "TRANSPORTES TRANSP TRANSPS", "CONSTRUCAO": "CONSTRUCAO CONSTR CONST", "JOALHERIA": "JOALHERIA JOALH JOAL",
+    "RESTAURANTE": "RESTAURANTE RESTAUR REST", "PADARIA": "PADARIA PAD PANIF PANIFICADORA", "CONFECCOES": "CONFECCOES CONFEC CONF", "DISTRIBUIDORA": "DISTRIBUIDORA DISTRIB DIST", "FARMACIA": "FARMACIA FARMAC FARM",
+}.items() for f in fs.split()}
+# Words beside a trade that name nobody.
+BESIDE = set("COMERCIO COM AUTO MATERIAIS MAT".split())
+# Additions to the names of organisations.
+ADDITIONS = set("VALE SERRA PORTO CENTRAL NOVA IRMAOS FILHOS CIA ASSOCIADOS".split())
+# Legal forms, forms of address and linking words.
+LEGAL = set("LTDA ME MEI EPP EIRELI SA".split())
+FORMS = set("SR SRA DR DRA SRTA DONA".split())
+LINKS = set("DE DA DO DAS DOS E".split())
+# Texts that stand for a missing name, beside those of addresses.
+NOBODY = PLACEHOLDERS | set("CLIENTE|SEM NOME|NOME|TITULAR|PORTADOR|CONSUMIDOR|NOME NAO INFORMADO|CLIENTE NAO INFORMADO|CONSUMIDOR FINAL".split("|"))
+# Endings of middle names, where a blank after one was lost.
+_RUN_ON = re.compile(r"^([A-Z]{1,6}(?:LANO|MPOSO|ZENDE|NETO|SORIO|DORIO|RELIO|BAO|VEIRO|GUEIRA|NTANA|LHAES))([A-Z]{6,})$")
+_MIDDLE = re.compile(r"^[^AEIOU].{0,5}(?:LANO|MPOSO|ZENDE|NETO|SORIO|DORIO|RELIO|BAO|VEIRO|GUEIRA|NTANA|LHAES)$")
+_SHORT_RUN_ON = re.compile(r"^([A-Z]{2,}?INH[OA])([A-Z]{4,})$")
+_LONG_TRADES = [t for t in TRADES if len(t) >= 7]
+
+SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("kind", "given", "middle", "key", "trade", "addition")])
+
+
+def edits(a: str, b: str, most: int) -> int:
+    """Edit distance with adjacent exchanges as one edit; ``most`` + 1 when it is larger."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before, last = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            v = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+            if before is not None and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                v = min(v, before[j - 2] + 1)
+            row.append(v)
+        if min(row) > most:
+            return most + 1
+        before, last = last, row
+    return min(last[-1], most + 1)
+
+
+def alike(a: str, b: str) -> bool:
+    """One typing error, two in words of ten letters or more; none in words under five."""
+    n = max(len(a), len(b))
+    most = 0 if n < 5 else 1 if n < 10 else 2
+    return edits(a, b, most) <= most
+
+
+def _trade(w: str) -> str | None:
+    if w in TRADES:
+        return TRADES[w]
+    return next((TRADES[t] for t in _LONG_TRADES if edits(w, t, 1) <= 1), None) if len(w) >= 6 else None
+
+
+def is_given(w: str) -> bool:
+    return w in GIVEN or w in NICKNAMES or (len(w) > 5 and w.rstrip("S")[-4:] in ("INHO", "INHA"))
+
+
+def _in_order(words: list[str]) -> list[str]:
+    """Given word first: undoes a leading key word and lost blanks after given and middle words."""
+    if not is_given(words[0]) and len(words[0]) > 1:
+        near = lambda w: any(edits(w, g, 1) <= 1 for g in GIVEN if len(g) >= 5)
+        head = max((g for g in GIVEN if words[0].startswith(g) and len(words[0]) - len(g) >= 2), key=len, default=None)
+        tail = max((g for g in GIVEN if words[0].endswith(g) and len(words[0]) - len(g) >= 6), key=len, default=None)
+        if len(words) > 1 and is_given(words[1]):
+            words = [*words[1:], words[0]]
+        elif near(words[0]):
+            pass
+        elif head and (len(head) > 3 or len(words) > 1):
+            rest = words[0][len(head) :]
+            words = [head, *([] if rest in LINKS else [rest]), *words[1:]]
+        elif m := _SHORT_RUN_ON.match(words[0]):
+            words = [m[1], m[2], *words[1:]]
+        elif len(words) == 2 and _MIDDLE.match(words[0][1:]):
+            words = [words[0][0], words[0][1:], words[1]]
+        elif tail:
+            words = [tail, *words[1:], words[0][: -len(tail)]]
+        elif len(words) > 1 and len(words[0]) > 8 and near(words[1]):
+            words = [*words[1:], words[0]]
+    out: list[str] = []
+    for w in words:
+        m = _RUN_ON.match(w) if out else None
+        out += [m[1], m[2]] if m else [w]
+    return out
+
+
+def parse_name(text: str | None) -> tuple | None:
+    """(kind, given, middle, key, trade, addition) or None."""
+    if text is None:
+        return None
+    t = re.sub(r"\bS\s*[./]?\s*A\b\.?\s*$", "SA", plain(text).strip())
+    if " ".join(re.findall(r"[A-Z0-9]+", t)) in NOBODY:
+        return None
+    t = re.sub(r"(?<=[A-Z])[01]|[01](?=[A-Z])", lambda m: "O" if m[0] == "0" else "I", t)
+    t = re.sub(r"(?<=[A-Z])[01]|[01](?=[A-Z])", lambda m: "O" if m[0] == "0" else "I", t)
+    front, comma, back = re.sub(r"\s-\s.*$", "", t).partition("," if "," in t else "/")
+    # a leading E, or one before a point, is an initial
+    words = lambda x: [m[0] for m in re.finditer(r"[A-Z]+", x) if m[0] not in LEGAL and m[0] not in FORMS and (m[0] not in LINKS or (m[0] == "E" and (not x[: m.start()].strip() or x[m.end() : m.end() + 1] == ".")))]
+    a, b = words(front), words(back)
+    swapped = bool(comma and a and b and len(a) == 1)
+    w = b + a if swapped else a + b
+    if not w:
+        return None
+    trade = next((x for x in map(_trade, w) if x), None)
+    addition = next((x for x in w if x in ADDITIONS), None)
+    if trade or addition or len(w) == 1:
+        core = [x for x in w if not _trade(x) and x not in ADDITIONS and x not in BESIDE and len(x) > 1]
+        key = max(core, key=len, default=None)
+        return ("O", None, None, key, trade, addition) if key and len(key) > 2 else None
+    w = [x for x in w if x not in BESIDE] or w
+    w = _in_order(w)
+    if len(w) == 1:
+        return "O", None, None, w[0], None, None
+    if len(w[-1]) < 3:
+        return None
+    return "P", w[0], " ".join(w[1:-1]) or None, w[-1], None, None
+
+
+@F.pandas_udf(SCHEMA)
+def name_parts(texts: pd.Series) -> pd.DataFrame:
+    """Arrow-batched ``parse_name``; every field is null where the text names nobody."""
+    memo: dict = {}
+    rows = []
+    for x in texts:
+        x = None if x is None or x != x else x
+        if x not in memo:
+            memo[x] = parse_name(x) or (None,) * 6
+        rows.append(memo[x])
+    return pd.DataFrame(rows, columns=SCHEMA.names, dtype=object)

@@ -1,0 +1,136 @@
+"""Name records of one person or organisation.
+
+Key words (family names, distinctive words) are brought to one spelling over
+MinHash bands; within one key word the names gather in stars around the fullest
+ones, compared by Monge-Elkan similarity. A name that leaves words out joins
+the one star it agrees with; where several remain it joins none.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from riskweave.functions.names import GIVEN, NICKNAMES, alike, edits, name_parts
+from riskweave.operators.places import message_records, record_pairs
+from riskweave.operators.words import minhash_keys, one_spelling
+from riskweave.runtime import Cuts
+
+
+def given_likeness(a: str, b: str) -> float:
+    """1 for one word, 0.9 for short forms and initials, less for typing errors, 0 for other persons."""
+    if a == b:
+        return 1.0
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == 1:
+        return 0.9 if b[0] == a or any(g[0] == a for g in NICKNAMES.get(b, "").split()) else 0.0
+    x, y = set(NICKNAMES.get(a, "").split()), set(NICKNAMES.get(b, "").split())
+    if x & ({b} | y) or a in y:
+        return 0.9
+    if a in GIVEN and b in GIVEN:
+        return 0.0
+    for short, full in ((a, b), (b, a)):
+        stem = short.rstrip("S")
+        if stem[-4:] in ("INHO", "INHA") and len(stem) > 5:
+            stem = stem[:-4].removesuffix("Z")
+            if full.startswith(stem) or (stem[-2:] == "QU" and full.startswith(stem[:-2] + "C")):
+                return 0.9
+    if a not in GIVEN and len(a) <= 5 and b.startswith(a) and not x:
+        return 0.9
+    return 1 - edits(a, b, 3) / len(b) if alike(a, b) else 0.0
+
+
+def word_likeness(a: str, b: str) -> float:
+    if min(len(a), len(b)) == 1:
+        return 0.9 if a[0] == b[0] else 0.0
+    n = max(len(a), len(b))
+    return 1 - edits(a, b, 3) / n if alike(a, b) or (n > 6 and edits(a, b, 2) <= 2) else 0.0
+
+
+def monge_elkan(x: list[str], y: list[str]) -> float:
+    """Mean over the words of the shorter list of the best likeness in the other; 1 when one is empty."""
+    if len(x) > len(y):
+        x, y = y, x
+    return sum(max(word_likeness(a, b) for b in y) for a in x) / len(x) if x else 1.0
+
+
+def likeness(r: dict, s: dict) -> float:
+    """0 where two names with one key word name different persons or organisations."""
+    if r["kind"] == "O":
+        return float((not r["trade"] or not s["trade"] or r["trade"] == s["trade"]) and (not r["addition"] or not s["addition"] or r["addition"] == s["addition"]))
+    g, m = given_likeness(r["given"], s["given"]), monge_elkan((r["middle"] or "").split(), (s["middle"] or "").split())
+    return (g + m) / 2 if g > 0 and m >= 0.6 else 0.0
+
+
+def _fullness(r: dict) -> tuple:
+    if r["kind"] == "O":
+        return (-bool(r["trade"]) - bool(r["addition"]),)
+    m = max(map(len, (r["middle"] or "").split()), default=0)
+    return (len(r["given"]) == 1, m <= 1, r["given"] not in GIVEN, m == 0)
+
+
+def _stars(rows: list[dict]) -> list[int | None]:
+    """The star of each name of one key word; None where it stays open."""
+    stars: list[list[dict]] = []
+    out: list[int | None] = [None] * len(rows)
+    for i in sorted(range(len(rows)), key=lambda i: (_fullness(rows[i]), -rows[i]["n"], *(rows[i][c] or "" for c in ("given", "middle", "trade", "addition")))):
+        fit = [k for k, star in enumerate(stars) if all(likeness(rows[i], s) > 0 for s in star)]
+        if not fit:
+            stars.append([rows[i]])
+            out[i] = len(stars) - 1
+        elif len(fit) == 1:
+            # a fuller word than the star has so far takes part in later decisions
+            s = stars[fit[0]]
+            if any(rows[i][c] and not any(x[c] for x in s) for c in ("middle", "trade", "addition")) or all(len(x["given"] or "..") == 1 for x in s):
+                s.append(rows[i])
+            out[i] = fit[0]
+    return out
+
+
+_PARTS = ("kind", "given", "middle", "key", "trade", "addition")
+
+
+def _entities(df: pd.DataFrame) -> pd.DataFrame:
+    text = lambda x: x if isinstance(x, str) and x else None
+    rows = [{c: text(v) for c, v in zip(_PARTS, t[:6], strict=True)} | {"n": int(t[6])} for t in df[[*_PARTS, "n"]].itertuples(index=False)]
+    # one decision for each combination of words, whatever the spelling of the key word
+    seen: dict[tuple, dict] = {}
+    marks = [tuple(r[c] for c in ("given", "middle", "trade", "addition")) for r in rows]
+    for m, r in zip(marks, rows, strict=True):
+        seen.setdefault(m, r | {"n": 0})["n"] += r["n"]
+    at = dict(zip(seen, _stars(list(seen.values())), strict=True))
+    head = df["kind"].iloc[0] + "|" + df["center"].iloc[0] + "|"
+    return pd.DataFrame({**{c: df[c].to_list() for c in _PARTS}, "entity": [None if at[m] is None else head + str(at[m]) for m in marks]}, dtype=object)
+
+
+def name_records(hub: DataFrame, cards: DataFrame) -> DataFrame:
+    """rec, text: the name records of stores and messages."""
+    last = F.max(F.struct("CD_MES", "DT_CRGA", "DC_ENDR", "NM_MNCP", "NM_EC")).alias("_m")
+    out = hub.where(F.col("NU_EC").isNotNull()).groupBy("NU_EC").agg(last).select(F.concat(F.lit("EC:"), F.col("NU_EC").cast("string")).alias("rec"), F.col("_m.NM_EC").alias("text"))
+    for prefix, column in (("PL:", "tx_oprc_nm_ptdr_pld"), ("NE:", "nm_ptdr_crto_ecommerce")):
+        out = out.unionByName(message_records(cards, prefix, column))
+    return out.where(F.col("text").isNotNull())
+
+
+def named(records: DataFrame) -> DataFrame:
+    """rec, text, entity of the records that name somebody."""
+    cuts = Cuts(records.sparkSession, "people")
+    texts = records.groupBy("text").agg(F.count(F.lit(1)).alias("n")).withColumn("_p", name_parts("text")).where(F.col("_p.key").isNotNull())
+    p = cuts.put(texts.select("text", "n", *[F.col(f"_p.{c}").alias(c) for c in _PARTS]))
+    near = lambda a, b: F.levenshtein(a, b) * 4 <= F.greatest(F.length(a), F.length(b))
+    keys = cuts.put(one_spelling(p.groupBy("key").agg(F.sum("n").alias("n")), "key", "n", minhash_keys, near, "names"))
+    variants = p.groupBy(*_PARTS).agg(F.sum("n").alias("n")).join(keys, "key")
+    got = cuts.put(variants.groupBy("kind", "center").applyInPandas(_entities, ", ".join(f"{c} string" for c in (*_PARTS, "entity"))).where(F.col("entity").isNotNull()))
+    same = F.lit(True)
+    g = got.select("entity", *[F.col(c).alias(f"_{c}") for c in _PARTS])
+    for c in _PARTS:
+        same = same & ((F.col(c) == F.col(f"_{c}")) if c in ("kind", "key") else F.col(c).eqNullSafe(F.col(f"_{c}")))
+    return records.join(p.join(g, same).select("text", "entity"), "text").select("rec", "text", "entity")
+
+
+def same_name_pairs(hub: DataFrame, cards: DataFrame) -> DataFrame:
+    """rec_a, rec_b: name records of one person or organisation with differing texts."""
+    cuts = Cuts(hub.sparkSession, "people")
+    return record_pairs(cuts.put(named(cuts.put(name_records(hub, cards)))), "entity")

@@ -1,0 +1,149 @@
+"""Address records that denote one location, matched top-down.
+
+Street words are brought to one spelling, the addresses of a street word are
+divided into streets (postal code, municipality, kind, title, given words), and
+those of a street into locations by the number. An address that leaves levels
+out joins the one street it agrees with; where several remain it joins none.
+"""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from riskweave.functions.addresses import QUARTER_WORDS, address_parts
+from riskweave.functions.names import alike
+from riskweave.operators.words import deletion_keys, one_spelling
+from riskweave.runtime import Cuts
+
+_QUARTER = re.compile(r"^(?:" + "|".join(QUARTER_WORDS) + r")\b")
+_LINK = {"DE", "DA", "DO", "DAS", "DOS", "E"}
+
+
+def same_given(a: str | None, b: str | None) -> bool:
+    """Given words agree: missing ones agree with anything, an initial with its word."""
+    x, y = ([w for w in (t or "").split() if w not in _LINK] for t in (a, b))
+    if len(x) > 1 and len(y) > 1 and len(x) != len(y):
+        return False
+    return all(p[0] == q[0] if min(len(p), len(q)) == 1 else alike(p, q) for p, q in zip(x, y, strict=False))
+
+
+class _Street:
+    def __init__(self, r: dict):
+        self.kinds, self.titles, self.givens, self.ceps = set(), set(), set(), set()
+        self.towns, self.villas, self.quarters, self.numbers = set(), set(), set(), set()
+        self.key = "|".join(str(r[c]) for c in ("_cep", "_kind", "_title", "_given")) + "|" + ",".join(sorted(r["_towns"] | r["_villas"]))
+        self.add(r)
+
+    def add(self, r: dict) -> None:
+        for own, c in ((self.kinds, "_kind"), (self.titles, "_title"), (self.givens, "_given"), (self.ceps, "_cep")):
+            if r[c]:
+                own.add(r[c])
+        self.towns |= r["_towns"]
+        self.villas |= r["_villas"]
+        self.quarters |= r["_quarters"]
+        self.numbers.add(r["_number"])
+
+    def fits(self, r: dict) -> bool:
+        return (not r["_kind"] or not self.kinds or r["_kind"] in self.kinds) and (not r["_title"] or not self.titles or r["_title"] in self.titles) and all(same_given(r["_given"], g) for g in self.givens)
+
+    def same_town(self, r: dict) -> bool:
+        near = lambda x, y: any(alike(p, q) for p in x for q in y)
+        if r["_towns"]:
+            return near(r["_towns"], self.towns) or not (self.towns or self.villas)
+        return near(r["_villas"], self.villas) or not r["_villas"]
+
+
+def _divide(rows: list[dict]) -> list[str | None]:
+    """The street key of each address of one street word; None where it stays open."""
+    level = lambda r: 0 if r["_cep"] else 1 if r["_towns"] else 2 if r["_villas"] else 3
+    order = sorted(range(len(rows)), key=lambda i: (level(rows[i]), not rows[i]["_kind"], -len(rows[i]["_given"] or ""), rows[i]["_text"], rows[i]["_hint"] or ""))
+    streets: list[_Street] = []
+    by_cep: dict[str, list[_Street]] = {}
+    out: list[str | None] = [None] * len(rows)
+    for i in order:
+        r = rows[i]
+        if r["_cep"]:
+            fit = [s for s in by_cep.get(r["_cep"], []) if s.fits(r)]
+        else:
+            fit = [s for s in streets if s.fits(r) and (level(r) == 3 or s.same_town(r))]
+            if len(fit) > 1 and r["_quarters"]:
+                fit = [s for s in fit if s.quarters & r["_quarters"]] or fit
+            if len(fit) > 1 and r["_hint"]:
+                fit = [s for s in fit if any(alike(r["_hint"], t) for t in s.towns | s.villas)] or fit
+            if len(fit) > 1:
+                fit = [s for s in fit if r["_number"] in s.numbers] or fit
+        if not fit:
+            s = _Street(r)
+            streets.append(s)
+            if r["_cep"]:
+                by_cep.setdefault(r["_cep"], []).append(s)
+            out[i] = s.key
+        elif len(fit) == 1:
+            if level(r) < 3 or r["_hint"]:
+                fit[0].add(r)
+            out[i] = fit[0].key
+    return out
+
+
+def _locations(df: pd.DataFrame) -> pd.DataFrame:
+    rows = []
+    for t in df.itertuples(index=False):
+        places = [p for p in (t.places if t.places is not None else []) if p]
+        rest = [p for p in places if not _QUARTER.match(p)]
+        villas = {p for p in rest if p.startswith("VILA ")}
+        text = lambda x: x if isinstance(x, str) and x else None
+        rows.append({"_text": t.text, "_hint": text(t.hint), "_kind": text(t.kind), "_title": text(t.title), "_given": text(t.given), "_cep": text(t.cep), "_number": t.number, "_towns": set(rest) - villas, "_villas": villas, "_quarters": set(places) - set(rest)})
+    keys = _divide(rows)
+    return pd.DataFrame({"text": df["text"].to_list(), "hint": df["hint"].to_list(), "location": [k and f"{c}|{k}|{r['_number']}" for k, r, c in zip(keys, rows, df["center"], strict=True)]}, columns=["text", "hint", "location"], dtype=object)
+
+
+def _plain(c: Column) -> Column:
+    """Upper case without the accents of Portuguese."""
+    return F.upper(F.translate(F.trim(c), "áàâãäéèêëíìîïóòôõöúùûüçÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇ", "aaaaaeeeeiiiiooooouuuucAAAAAEEEEIIIIOOOOOUUUUC"))
+
+
+def address_records(hub: DataFrame, cards: DataFrame) -> DataFrame:
+    """rec, text, hint: the address records of stores and messages; hint is the store's municipality."""
+    last = F.max(F.struct("CD_MES", "DT_CRGA", "DC_ENDR", "NM_MNCP")).alias("_m")
+    ec = hub.where(F.col("NU_EC").isNotNull()).groupBy("NU_EC").agg(last).select(F.concat(F.lit("EC:"), F.col("NU_EC").cast("string")).alias("rec"), F.col("_m.DC_ENDR").alias("text"), _plain(F.col("_m.NM_MNCP")).alias("hint"))
+    out = ec
+    for prefix, column in (("PT:", "tx_endr_ptdr_ecommerce"), ("EN:", "tx_endr_enta_ecommerce")):
+        out = out.unionByName(message_records(cards, prefix, column).withColumn("hint", F.lit(None).cast("string")))
+    return out.where(F.col("text").isNotNull())
+
+
+def message_records(cards: DataFrame, prefix: str, column: str) -> DataFrame:
+    """rec, text: one record per message; of copies that differ the first loaded with a text counts."""
+    first = F.min(F.struct("dt_crga", F.col(column).alias("text"))).alias("_m")
+    m = cards.where(F.col(column).isNotNull() & F.col("qt_cnar_ordm").isNotNull()).groupBy("qt_cnar_ordm").agg(first)
+    return m.select(F.concat(F.lit(prefix), F.col("qt_cnar_ordm").cast("string")).alias("rec"), F.col("_m.text").alias("text"))
+
+
+def record_pairs(records: DataFrame, group: str) -> DataFrame:
+    """rec_a, rec_b: records of one group whose texts differ."""
+    a = records.select(group, F.col("rec").alias("rec_a"), F.col("text").alias("_ta"))
+    b = records.select(group, F.col("rec").alias("rec_b"), F.col("text").alias("_tb"))
+    return a.join(b, group).where((F.col("rec_a") < F.col("rec_b")) & (F.col("_ta") != F.col("_tb"))).select("rec_a", "rec_b")
+
+
+def located(records: DataFrame) -> DataFrame:
+    """rec, text, location of the records that denote a location."""
+    cuts = Cuts(records.sparkSession, "places")
+    records = cuts.put(records.withColumn("hint", F.coalesce("hint", F.lit(""))))
+    p = records.select("text", "hint").distinct().withColumn("_p", address_parts("text"))
+    p = p.where(F.col("_p.number").isNotNull() & F.col("_p.street").isNotNull())
+    p = cuts.put(p.select("text", "hint", *[F.col(f"_p.{c}").alias(c) for c in ("kind", "title", "given", "street", "number", "cep", "places")]))
+    near = lambda a, b: F.levenshtein(a, b) * 4 <= F.greatest(F.length(a), F.length(b))
+    names = one_spelling(p.groupBy("street").agg(F.count(F.lit(1)).alias("n")), "street", "n", deletion_keys, near, "streets")
+    got = p.join(names, "street").groupBy("center").applyInPandas(_locations, "text string, hint string, location string")
+    return records.join(got.where(F.col("location").isNotNull()), ["text", "hint"]).select("rec", "text", "location")
+
+
+def same_location_pairs(hub: DataFrame, cards: DataFrame) -> DataFrame:
+    """rec_a, rec_b: address records of one location with differing texts."""
+    cuts = Cuts(hub.sparkSession, "places")
+    return record_pairs(cuts.put(located(address_records(hub, cards))), "location")

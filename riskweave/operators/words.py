@@ -1,0 +1,55 @@
+"""One spelling for hand-typed rare words.
+
+A word joins the most frequent word it may be a misspelling of (star
+clustering): few edits for its length, candidates by hashed keys only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from riskweave.runtime import Cuts
+
+#: Shortest word that may be a misspelling of another.
+SHORTEST = 5
+
+
+def deletion_keys(word: Column) -> Column:
+    """The word and all words with one character left out: one typing error shares a key."""
+    n = F.length(word)
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, n)))
+    return F.array_distinct(F.when(n >= SHORTEST, F.concat(F.array(word), cut)).otherwise(F.array(word)))
+
+
+def minhash_keys(word: Column, bands: int = 12, rows: int = 4) -> Column:
+    """MinHash bands over the letter triples of a word, its ends marked, beside the deletion keys.
+
+    The bands find words with several errors; the deletion keys make one error certain.
+    """
+    w = F.concat(F.lit("^"), word, F.lit("$"))
+    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3)))
+    least = lambda seed: F.array_min(F.transform(triples, lambda p: F.xxhash64(F.lit(seed), p)))
+    banded = F.array(*[F.concat(F.lit(f"#{b}:"), F.xxhash64(*[least(b * rows + r) for r in range(rows)]).cast("string")) for b in range(bands)])
+    return F.when(F.length(word) >= SHORTEST, F.concat(banded, deletion_keys(word))).otherwise(F.array(word))
+
+
+def one_spelling(counts: DataFrame, word: str, n: str, keys, near, label: str) -> DataFrame:
+    """(word, center) for one row per word with its count; a word without a more frequent neighbour is its own center.
+
+    ``keys`` gives the candidate keys of a word column, ``near`` decides on two
+    words. Frequency, then text, orders the words, so the parents form a forest;
+    its paths are followed for three steps.
+    """
+    cuts = Cuts(counts.sparkSession, label)
+    c = cuts.put(counts.select(F.col(word).alias("_w"), F.col(n).alias("_n")))
+    k = c.withColumn("_k", F.explode(keys(F.col("_w"))))
+    a, b = k.select("_k", F.col("_w").alias("_a"), F.col("_n").alias("_na")), k.select("_k", F.col("_w").alias("_b"), F.col("_n").alias("_nb"))
+    above = (F.col("_nb") > F.col("_na")) | ((F.col("_nb") == F.col("_na")) & (F.col("_b") < F.col("_a")))
+    pairs = a.join(b, "_k").where(above & near(F.col("_a"), F.col("_b")))
+    up = pairs.groupBy("_a").agg(F.min(F.struct((-F.col("_nb")).alias("n"), F.col("_b").alias("w"))).alias("_t")).select(F.col("_a").alias("_w"), F.col("_t.w").alias("_up"))
+    up = cuts.put(up)
+    for _ in range(2):
+        nxt = up.select(F.col("_w").alias("_up"), F.col("_up").alias("_next"))
+        up = up.join(nxt, "_up", "left").select("_w", F.coalesce("_next", "_up").alias("_up"))
+    return c.join(up, "_w", "left").select(F.col("_w").alias(word), F.coalesce("_up", "_w").alias("center"))

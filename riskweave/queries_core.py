@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.operators import delivery, history, instants, skew
+from riskweave.operators import delivery, history, instants, people, places, skew
 from riskweave.runtime import Cuts, read
 
 HUB, CARDS, PIX = "tbciar_re_hub_dado_risc_cred", "tbciar_tr_lynx_trns_crto", "tbciar_tr_lynx_trns_pix"
@@ -44,6 +44,14 @@ def p2_once(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.expr("substring(id, 1, instr(id, '|') - 1)").alias("canal"), F.expr("substring(id, instr(id, '|') + 1)").alias("id_mensagem"), "dt_crga")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return places.same_location_pairs(read(spark, d, HUB), read(spark, d, CARDS))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return people.same_name_pairs(read(spark, d, HUB), read(spark, d, CARDS))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return skew.heavy_keys(read(spark, d, "grafo_arestas"), "dst", HEAVY_SHARE).select("dst")
 
@@ -80,7 +88,7 @@ def p6_zones(spark: SparkSession, d: str) -> DataFrame:
     return instants.estimate_zones(m, ["cd_pais_estn", "sg_uf"], "p", "dia_crga", zones, "nm_fuso")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p2_once, p5_found, p5_by_dst, p5_by_relation, p5_join, p6_found, p6_zones)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p2_once, p3_found, p4_found, p5_found, p5_by_dst, p5_by_relation, p5_join, p6_found, p6_zones)}
 
 _CHANNEL = """(SELECT 'crto' AS canal, lower(trim(id_unco)) AS id_mensagem, dt_crga FROM tbciar_tr_lynx_trns_crto WHERE id_unco IS NOT NULL
  UNION ALL SELECT 'pix', lower(trim(id_unco_pix)), dt_crga FROM tbciar_tr_lynx_trns_pix WHERE id_unco_pix IS NOT NULL)"""
