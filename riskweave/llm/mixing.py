@@ -22,18 +22,17 @@ BUCKETS = 256
 def plan_mix(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
     """One row per source of sizes or targets: source, docs, tokens, target, cap, copies, reachable.
 
-    ``total`` is the wanted size in tokens; by default the largest at which no
-    source that has tokens needs more than its cap, so that every such target is
-    met. With a given total, a source whose need exceeds its cap is held at the
-    cap and marked unreachable; so is a target without tokens. A source without
+    ``total`` is the wanted size in tokens; by default that of the corpus, all
+    sources of ``sizes`` together. A source whose need exceeds its cap is held at
+    the cap and marked unreachable; so is a target without tokens. A source without
     target contributes nothing. Both inputs have one row per source (bounded).
     """
     t = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("pc_alvo").alias("target"), F.max("qt_max_repeticoes").alias("cap"))
     j = sizes.join(t, "source", "full")
     j = j.select("source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("docs", "tokens")], F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("cap", F.lit(0)).alias("cap"))
     usable = (F.col("tokens") > 0) & (F.col("target") > 0) & (F.col("cap") > 0)
-    most = F.lit(float(total)) if total is not None else F.min(F.when(usable, F.col("cap") * F.col("tokens") / F.col("target"))).over(W.partitionBy(F.lit(1)))
-    j = j.withColumn("total", F.coalesce(most, F.lit(0.0)))
+    size = F.lit(float(total)) if total is not None else F.sum("tokens").over(W.partitionBy(F.lit(1))).cast("double")
+    j = j.withColumn("total", F.coalesce(size, F.lit(0.0)))
     need = F.col("target") * F.col("total") / F.col("tokens")
     return j.withColumn("copies", F.when(usable, F.least(need, F.col("cap").cast("double"))).otherwise(0.0)).withColumn("reachable", (F.col("target") == 0) | (usable & (need <= F.col("cap") * (1 + 1e-12))))
 
@@ -68,9 +67,13 @@ class Mix:
         self.drawn = draw(self.docs, self.plan, "doc_id", "n_tokens", seed)
 
     def shares(self) -> DataFrame:
-        """source, pc_alvo, qt_max_repeticoes, docs, tokens, copies, tokens_drawn, pc_real, alcancavel."""
+        """source, pc_alvo, qt_max_repeticoes, docs, tokens, copies, max_copies, tokens_drawn, alcancavel, pc_total, pc_real.
+
+        ``pc_total`` is the share of the wanted size, ``pc_real`` that of what was
+        drawn, which is less where a source is held at its cap.
+        """
         got = self.drawn.groupBy("source").agg(F.sum("copies").alias("drawn"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens_drawn"), F.max("copies").alias("most"))
         j = self.plan.join(F.broadcast(got), "source", "left")
-        j = j.select("source", F.col("target").alias("pc_alvo"), F.col("cap").alias("qt_max_repeticoes"), "docs", "tokens", F.coalesce("drawn", F.lit(0)).alias("copies"), F.coalesce("most", F.lit(0)).alias("max_copies"), F.coalesce("tokens_drawn", F.lit(0)).alias("tokens_drawn"), F.col("reachable").alias("alcancavel"))
+        j = j.select("source", F.col("target").alias("pc_alvo"), F.col("cap").alias("qt_max_repeticoes"), "docs", "tokens", F.coalesce("drawn", F.lit(0)).alias("copies"), F.coalesce("most", F.lit(0)).alias("max_copies"), F.coalesce("tokens_drawn", F.lit(0)).alias("tokens_drawn"), F.col("reachable").alias("alcancavel"), F.when(F.col("total") > 0, F.coalesce("tokens_drawn", F.lit(0)) / F.col("total")).otherwise(0.0).alias("pc_total"))
         all_drawn = F.sum("tokens_drawn").over(W.partitionBy(F.lit(1)))
         return j.withColumn("pc_real", F.when(all_drawn > 0, F.col("tokens_drawn") / all_drawn).otherwise(0.0))

@@ -1,0 +1,14 @@
+"""The size of the mix and targets that cannot be reached."""
+
+from riskweave.llm.mixing import plan_mix
+from riskweave.runtime import session
+
+
+def test_default_size_is_the_corpus_and_short_sources_are_reported():
+    spark = session("mixing", "local[2]", **{"spark.sql.shuffle.partitions": "2"})
+    sizes = spark.createDataFrame([("big", 90, 990), ("tiny", 1, 10)], "source string, docs long, tokens long")
+    targets = spark.createDataFrame([("big", 0.9, 1), ("tiny", 0.1, 2)], "source string, pc_alvo double, qt_max_repeticoes int")
+    got = {r["source"]: r for r in plan_mix(sizes, targets).collect()}
+    assert got["big"]["total"] == 1000
+    assert got["big"]["reachable"] and abs(got["big"]["copies"] - 900 / 990) < 1e-9
+    assert not got["tiny"]["reachable"] and got["tiny"]["copies"] == 2
