@@ -41,6 +41,8 @@ def p2_once(spark: SparkSession, d: str) -> DataFrame:
         batch = rows.where(F.substring("dt_crga", 1, 7).eqNullSafe(F.lit(m)))
         got = ledger.admit(batch, "chave", [F.col("dt_crga"), F.col("nm_arqv_orgm")], ["dt_crga"]).where("admitted")
         out = got if out is None else out.unionByName(got)
+    if out is None:
+        return rows.where(F.lit(False)).select("canal", "id_mensagem", "dt_crga")
     return out.select(F.expr("substring(id, 1, instr(id, '|') - 1)").alias("canal"), F.expr("substring(id, instr(id, '|') + 1)").alias("id_mensagem"), "dt_crga")
 
 
