@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe, components, lookalike, mixing
+from riskweave.llm import bpe, components, lookalike, mixing, names, places
 from riskweave.runtime import read
 
 
+HUB, CARDS = "tbciar_re_hub_dado_risc_cred", "tbciar_tr_lynx_trns_crto"
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return places.same_location_pairs(read(spark, d, HUB), read(spark, d, CARDS))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_name_pairs(read(spark, d, HUB), read(spark, d, CARDS))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return components.identity_groups(read(spark, d, "identidade"), read(spark, d, "pares_identidade"))
 
@@ -35,7 +46,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.one_form(read(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p8_ids, p9_shares, p9_mix, p10_found, p10_texts)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p7_found, p8_ids, p9_shares, p9_mix, p10_found, p10_texts)}
 
 SQL = {
     "p7_found": """WITH RECURSIVE rows AS (
