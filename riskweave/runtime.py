@@ -36,9 +36,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``).
+
+    Only a local master, whose executor is this machine, gets a local one where it is unset.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "riskweave-checkpoints")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -66,17 +72,19 @@ class Cuts:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}", 0
-        self.paths: dict[int, str] = {}
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.at}/{self.n}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._cut_path = path
         return out
 
+    def together(self, frames: list[DataFrame]) -> DataFrame:
+        """Several cut tables of one schema as one scan."""
+        return self.spark.read.schema(frames[0].schema).parquet(*[f._cut_path for f in frames])
+
     def drop(self, *frames: DataFrame) -> None:
         remove(self.spark, *(f._cut_path for f in frames if hasattr(f, "_cut_path")))
 
