@@ -51,7 +51,7 @@ TITLES = {
 # Words that open a unit inside a building.
 UNIT_WORDS = "APTO AP APT APARTAMENTO SALA SL LOJA LJ CASA CS BLOCO BL FUNDOS FDS ANDAR CONJ CJ SOBRELOJA GALPAO BOX TERREO LOTE LT QUADRA QD".split()
 # Words that open a neighbourhood.
-QUARTER_WORDS = "JARDIM JD BAIRRO CONJUNTO PARQUE PQ PQE RESIDENCIAL NUCLEO LOTEAMENTO SETOR DISTRITO".split()
+QUARTER_WORDS = "CENTRO JARDIM JD BAIRRO CONJUNTO PARQUE PQ PQE RESIDENCIAL NUCLEO LOTEAMENTO SETOR DISTRITO".split()
 # Texts that stand for a missing address, without accents and punctuation.
 PLACEHOLDERS = set("NAO INFORMADO|SEM ENDERECO|N I|NI|N A|NA|NULL|NONE|X|XX|XXX|XXXX|XXXXX|NAO CONSTA|NAO TEM|SEM INFORMACAO|DESCONHECIDO|A CONFIRMAR|ENDERECO|S N|SN|NAO DECLARADO|INEXISTENTE|TESTE|0|00|000|A DEFINIR|NAO DISPONIVEL|INDISPONIVEL|IGNORADO|SEM DADOS|PENDENTE|NIHIL|VAZIO".split("|"))
 
@@ -103,7 +103,7 @@ def parse_address(text: str | None) -> tuple | None:
         return None
     t = re.sub(r"\s+", " ", plain(text)).strip()
     bare = " ".join(_WORDS.findall(t))
-    if not bare or bare in PLACEHOLDERS or len(bare) < 3:
+    if not bare or bare in PLACEHOLDERS:
         return None
     cep = None
     found = None

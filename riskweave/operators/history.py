@@ -74,24 +74,46 @@ def fold_versions(
 
 
 def _spelling(a: Column, b: Column) -> Column:
-    """Two spellings of one street name: few edits for the length."""
+    """Two spellings of one word: few edits for the length."""
     n = F.greatest(F.length(a), F.length(b))
     return (a == b) | (F.levenshtein(a, b) * 4 <= n)
 
 
-def same_place(a: Column, b: Column) -> Column:
-    """Whether two parsed addresses denote one location (street, number, municipality).
+def _given_agree(a: Column, b: Column) -> Column:
+    """Words before the last of a street name: missing ones agree with anything, an initial with its word.
 
-    Null when either denotes none. Missing levels (kind, postal code, places) agree with anything.
+    Linking words are left out; where one has fewer words, those it has count.
     """
+    words = lambda c: F.filter(F.split(c, " "), lambda w: ~w.isin("DE", "DA", "DO", "DAS", "DOS", "E", ""))
+    pairs = F.arrays_zip(words(a).alias("x"), words(b).alias("y"))
+    one = lambda p: p["x"].isNull() | p["y"].isNull() | (((F.length(p["x"]) == 1) | (F.length(p["y"]) == 1)) & (F.substring(p["x"], 1, 1) == F.substring(p["y"], 1, 1))) | _spelling(p["x"], p["y"])
+    return F.coalesce(F.forall(pairs, one), F.lit(True))
+
+
+def _same_town(a: Column, b: Column) -> Column:
+    """Municipalities: those marked by a state must be one; else any place that is no quarter may be shared; missing agrees."""
     towns = lambda x: F.filter(x["places"], lambda p: ~p.rlike(r"^(" + "|".join(QUARTER_WORDS) + r")\b"))
     clear = lambda x: F.filter(towns(x), lambda p: ~p.startswith("VILA "))
+    near = lambda x, y: F.exists(towns(x), lambda p: F.exists(towns(y), lambda q: _spelling(p, q)))
+    marked = F.when(a["locality"].isNotNull() & b["locality"].isNotNull(), _spelling(a["locality"], b["locality"]))
+    loose = (F.size(clear(a)) == 0) | (F.size(clear(b)) == 0) | near(a, b)
+    return F.coalesce(a["uf"] == b["uf"], F.lit(True)) & F.coalesce(marked, loose)
+
+
+def same_place(a: Column, b: Column) -> Column:
+    """Whether two parsed addresses denote one location (street, number, municipality), level by level.
+
+    Null when either denotes none. Levels not given (kind, title, given words,
+    postal code, state, places) agree with anything; given ones must agree.
+    """
     known = a["number"].isNotNull() & b["number"].isNotNull() & a["name"].isNotNull() & b["name"].isNotNull()
     ok = (
         (a["number"] == b["number"])
         & _spelling(a["name"], b["name"])
         & F.coalesce(a["kind"] == b["kind"], F.lit(True))
-        & F.coalesce(a["cep"] == b["cep"], (F.size(clear(a)) == 0) | (F.size(clear(b)) == 0) | F.arrays_overlap(towns(a), towns(b)))
+        & F.coalesce(a["title"] == b["title"], F.lit(True))
+        & _given_agree(a["given"], b["given"])
+        & F.coalesce(a["cep"] == b["cep"], _same_town(a, b))
     )
     return F.when(known, ok)
 
@@ -109,7 +131,7 @@ def store_history(hub: DataFrame) -> DataFrame:
     rows = rows.select(F.col("NU_EC").alias("nu_ec"), F.col("CD_MES").alias("cd_mes"), known_document(F.col("NU_DCMT")).alias("documento"), "DC_ENDR", p.alias("_p"))
     place = F.when(
         F.col("_p.number").isNotNull() & F.col("_p.street").isNotNull(),
-        F.struct(F.col("_p.number").alias("number"), F.col("_p.street").alias("name"), F.col("_p.kind").alias("kind"), F.col("_p.cep").alias("cep"), F.col("_p.places").alias("places"), F.col("DC_ENDR").alias("texto")),
+        F.struct(F.col("_p.number").alias("number"), F.col("_p.street").alias("name"), *[F.col(f"_p.{c}").alias(c) for c in ("kind", "title", "given", "cep", "uf", "locality", "places")], F.col("DC_ENDR").alias("texto")),
     )
     rows = rows.select("nu_ec", "cd_mes", "documento", place.alias("lugar"))
     out = fold_versions(rows, "nu_ec", "cd_mes", ["documento", "lugar"], {"lugar": same_place})
