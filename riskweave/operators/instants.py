@@ -1,9 +1,11 @@
 """Timestamps in mixed forms, precisions and zones as one instant.
 
 A value's own offset or zone holds. A civil time without one takes the zone
-declared for its place; where none is declared, the zone is estimated: of the
-candidate zones the one whose offset history puts the fewest local times after
-their ingestion (and then the fewest before the earliest plausible one).
+declared for its place; where none is declared, the zone is estimated by
+aligning local times with ingestion: deliveries close at the end of a local
+day, so under the right offset history the instants that are known at a place
+fall on the local day their ingestion belongs to, and under a wrong one those
+near midnight fall before or after it.
 All expressions are native; results are milliseconds and do not depend on the
 session time zone.
 """
@@ -103,28 +105,44 @@ def moment_to_instant(p: Column, civil_zone: Column) -> Column:
     )
 
 
+def usual_lag(df: DataFrame, parsed: str, ingested: str) -> DataFrame:
+    """One row: the most frequent number of days from a civil day to its ingestion (ties: the least)."""
+    lag = F.datediff(F.col(ingested), F.col(f"{parsed}.day")).alias("_lag")
+    n = df.where(F.col(f"{parsed}.day").isNotNull() & F.col(ingested).isNotNull() & F.col(f"{parsed}.offset").isNull() & F.col(f"{parsed}.zone").isNull()).groupBy(lag).agg(F.count(F.lit(1)).alias("_n"))
+    return n.agg(F.max(F.struct("_n", (-F.col("_lag")).alias("l"))).alias("_t")).select(F.coalesce(-F.col("_t.l"), F.lit(0)).alias("_lag"))
+
+
 def estimate_zones(df: DataFrame, group: Sequence[str], parsed: str, ingested: str, zones: DataFrame, zone_col: str) -> DataFrame:
-    """group, zone, violations, rows: the candidate zone with the fewest violations per group.
+    """group, zone, violations, rows, tied: the candidate zone with the fewest violations per group.
 
     ``zones`` is the bounded list of candidate zones, ``ingested`` the day of
-    ingestion. Under a candidate a civil time is a violation when its instant
-    lies after the end of the ingestion day, or when the value names an offset
-    the candidate's history does not have at that time. Ties go to the earlier
-    local noon, then to the zone's name. Rows are first counted per (group,
-    civil hour, ingestion day, own offset), so the candidates multiply compact
-    states, not rows. Null groups form one group.
+    ingestion. A known instant (its value names an offset or zone, or is an
+    epoch number) violates a candidate where its local day under it is not the
+    ingestion day less the usual lag: too far east it falls after, too far west
+    before. Ties go to the offsets most values of the group name, then to the
+    zone's name; ``tied`` counts the candidates with equally few violations.
+    A civil time without offset is told by its local day whatever the zone, so
+    it informs the usual lag only. Rows are first counted per (group, quarter
+    of an hour, ingestion day, own offset), so the candidates multiply compact
+    states, not rows. Null groups form one group; a group without known
+    instants has no row.
     """
     p = lambda f: F.col(f"{parsed}.{f}")
-    hours = df.where(p("day").isNotNull() & p("zone").isNull() & F.col(ingested).isNotNull()).groupBy(*group, p("day").alias("_d"), F.floor(p("ms") / 3_600_000).alias("_h"), F.col(ingested).alias("_i"), p("offset").alias("_o")).agg(F.count(F.lit(1)).alias("_n"))
+    known = df.where(F.col(ingested).isNotNull() & (p("instant").isNotNull() | (p("day").isNotNull() & (p("offset").isNotNull() | p("zone").isNotNull()))))
+    quarter = F.floor(moment_to_instant(F.col(parsed), F.lit("UTC")) / 900_000).alias("_q")
+    states = known.groupBy(*group, quarter, F.col(ingested).alias("_i"), p("offset").alias("_o")).agg(F.count(F.lit(1)).alias("_n"))
     cand = zones.select(F.col(zone_col).alias("_z")).where(F.col("_z").isNotNull()).distinct().agg(F.array_sort(F.collect_list("_z")).alias("_zs"))
-    tried = hours.withColumn("_one", F.lit(1)).join(F.broadcast(cand.withColumn("_one", F.lit(1))), "_one").select(*group, "_d", "_h", "_i", "_o", "_n", F.explode("_zs").alias("_z"))
-    tried = tried.withColumn("_at", civil_to_instant(F.col("_d"), F.col("_h") * 3_600_000, F.col("_z")))
-    own = F.unix_date("_d").cast("long") * _DAY_MS + F.col("_h") * 3_600_000 - F.col("_o").cast("long") * 60_000
-    bad = F.when(F.col("_o").isNotNull(), own != F.col("_at")).otherwise(F.col("_at") >= (F.unix_date("_i").cast("long") + 1) * _DAY_MS)
-    noon = civil_to_instant(F.make_date(F.lit(2025), F.lit(1), F.lit(1)), F.lit(_DAY_MS // 2).cast("long"), F.col("_z"))
-    scored = tried.groupBy(*group, "_z").agg(F.sum(F.when(bad, F.col("_n")).otherwise(0)).alias("violations"), F.sum("_n").alias("rows"))
-    best = F.min(F.struct("violations", noon.alias("_o"), F.col("_z").alias("zone"), "rows")).alias("_b")
-    return scored.groupBy(*group).agg(best).select(*group, "_b.zone", "_b.violations", "_b.rows")
+    one = lambda x: x.withColumn("_one", F.lit(1))
+    # two frames of one row each
+    tried = one(states).join(F.broadcast(one(cand)), "_one").join(F.broadcast(one(usual_lag(df, parsed, ingested))), "_one").select(*group, "_q", "_i", "_o", "_n", "_lag", F.explode("_zs").alias("_z"))
+    utc = F.timestamp_add("MILLISECOND", F.col("_q") * 900_000, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    tried = tried.withColumn("_utc", utc).withColumn("_at", F.convert_timezone(F.lit("UTC"), F.col("_z"), F.col("_utc")))
+    bad = F.to_date("_at") != F.date_sub(F.col("_i"), F.col("_lag"))
+    vote = F.timestamp_diff("MINUTE", F.col("_utc"), F.col("_at")) == F.col("_o")
+    scored = tried.groupBy(*group, "_z").agg(F.sum(F.when(bad, F.col("_n")).otherwise(0)).alias("violations"), F.sum(F.when(vote, F.col("_n")).otherwise(0)).alias("_v"), F.sum("_n").alias("rows"))
+    item = F.struct("violations", (-F.col("_v")).alias("v"), F.col("_z").alias("zone"), "rows")
+    best = scored.groupBy(*group).agg(F.min(item).alias("_b"), F.collect_list("violations").alias("_all"))
+    return best.select(*group, "_b.zone", "_b.violations", "_b.rows", F.size(F.filter("_all", lambda v: v == F.col("_b.violations"))).alias("tied"))
 
 
 def card_moments(cards: DataFrame) -> DataFrame:
