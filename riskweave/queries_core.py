@@ -24,26 +24,31 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
     return delivery.channel_messages(read(spark, d, CARDS), read(spark, d, PIX))
 
 
+def _admitted(spark: SparkSession, d: str) -> DataFrame | None:
+    """The ledger over the load months in order: id, arrivals, admitted, dt_crga, nm_arqv_orgm, batch."""
+    cols = ["dt_crga", "nm_arqv_orgm"]
+    return delivery.admit_batches(spark, _messages(spark, d).select("chave", *cols), F.substring("dt_crga", 1, 7), "chave", [F.col(c) for c in cols], cols)
+
+
+def _channel_and_id() -> list:
+    return [F.expr("substring(id, 1, instr(id, '|') - 1)").alias("canal"), F.expr("substring(id, instr(id, '|') + 1)").alias("id_mensagem")]
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    ledger = delivery.SeenLedger(spark)
-    out = ledger.admit(_messages(spark, d), "chave", [F.col("dt_crga"), F.col("nm_arqv_orgm")])
-    at = F.instr("id", "|")
-    return out.where(F.col("arrivals") > 1).select(F.expr("substring(id, 1, instr(id, '|') - 1)").alias("canal"), F.expr("substring(id, instr(id, '|') + 1)").alias("id_mensagem"))
+    """Identifiers of which the ledger turned some arrival away: by a bit set in an earlier batch, or as a further copy in its own."""
+    got = _admitted(spark, d)
+    if got is None:
+        return _messages(spark, d).where(F.lit(False)).select("canal", "id_mensagem")
+    refused = got.where((F.col("arrivals") > 1) | ~F.col("admitted"))
+    return refused.select("id").distinct().select(*_channel_and_id())
 
 
 def p2_once(spark: SparkSession, d: str) -> DataFrame:
-    """One arrival of each identifier, admitted over the batches of the load months in order."""
-    ledger = delivery.SeenLedger(spark)
-    months = [r[0] for r in read(spark, d, CARDS).select(F.substring("dt_crga", 1, 7)).union(read(spark, d, PIX).select(F.substring("dt_crga", 1, 7))).distinct().sort(F.col("substring(dt_crga, 1, 7)").asc_nulls_last()).collect()]
-    out = None
-    rows = _messages(spark, d)
-    for m in months:
-        batch = rows.where(F.substring("dt_crga", 1, 7).eqNullSafe(F.lit(m)))
-        got = ledger.admit(batch, "chave", [F.col("dt_crga"), F.col("nm_arqv_orgm")], ["dt_crga"]).where("admitted")
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        return rows.where(F.lit(False)).select("canal", "id_mensagem", "dt_crga")
-    return out.select(F.expr("substring(id, 1, instr(id, '|') - 1)").alias("canal"), F.expr("substring(id, instr(id, '|') + 1)").alias("id_mensagem"), "dt_crga")
+    """The one kept arrival of each identifier, admitted over the batches of the load months in order."""
+    got = _admitted(spark, d)
+    if got is None:
+        return _messages(spark, d).where(F.lit(False)).select("canal", "id_mensagem", "dt_crga", "nm_arqv_orgm")
+    return got.where("admitted").select(*_channel_and_id(), "dt_crga", "nm_arqv_orgm")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -84,12 +89,13 @@ def p6_zones(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_history, p2_found, p2_once, p5_found, p5_by_dst, p5_by_relation, p5_join, p6_found, p6_zones)}
 
-_CHANNEL = """(SELECT 'crto' AS canal, lower(trim(id_unco)) AS id_mensagem, dt_crga FROM tbciar_tr_lynx_trns_crto WHERE id_unco IS NOT NULL
- UNION ALL SELECT 'pix', lower(trim(id_unco_pix)), dt_crga FROM tbciar_tr_lynx_trns_pix WHERE id_unco_pix IS NOT NULL)"""
+_ID = "nullif(lower(regexp_replace({0}, '^[\\s\\x{{A0}}\\x{{2000}}-\\x{{200B}}\\x{{3000}}\\x{{FEFF}}]+|[\\s\\x{{A0}}\\x{{2000}}-\\x{{200B}}\\x{{3000}}\\x{{FEFF}}]+$', '', 'g')), '')"
+_CHANNEL = f"""(SELECT * FROM (SELECT 'crto' AS canal, {_ID.format("id_unco")} AS id_mensagem, dt_crga, nm_arqv_orgm FROM {CARDS}
+ UNION ALL SELECT 'pix', {_ID.format("id_unco_pix")}, dt_crga, nm_arqv_orgm FROM {PIX}) WHERE id_mensagem IS NOT NULL)"""
 
 SQL = {
     "p2_found": f"SELECT canal, id_mensagem FROM {_CHANNEL} GROUP BY 1, 2 HAVING count(*) > 1",
-    "p2_once": f"SELECT canal, id_mensagem, min(dt_crga) AS dt_crga FROM {_CHANNEL} GROUP BY 1, 2",
+    "p2_once": f"SELECT canal, id_mensagem, dt_crga, nm_arqv_orgm FROM (SELECT *, row_number() OVER (PARTITION BY canal, id_mensagem ORDER BY dt_crga, nm_arqv_orgm) AS rn FROM {_CHANNEL}) WHERE rn = 1",
     "p5_found": "SELECT dst FROM grafo_arestas WHERE dst IS NOT NULL GROUP BY dst HAVING count(*) >= 0.03 * (SELECT count(*) FROM grafo_arestas)",
     "p5_by_dst": "SELECT dst, count(*) AS rows, CAST(sum(qt) AS BIGINT) AS qt, round(sum(valor), 2) AS valor, min(ts_min) AS ts_min, max(ts_max) AS ts_max FROM grafo_arestas GROUP BY dst",
     "p5_by_relation": "SELECT relacao, count(*) AS rows, CAST(sum(qt) AS BIGINT) AS qt, round(sum(valor), 2) AS valor, min(ts_min) AS ts_min, max(ts_max) AS ts_max FROM grafo_arestas GROUP BY relacao",
