@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.runtime import Cuts
+
 
 def compact_state(df: DataFrame, keys: Sequence[str], sums: Sequence[str] = (), mins: Sequence[str] = (), maxs: Sequence[str] = ()) -> DataFrame:
     """rows, sums, minima and maxima per key combination; partial aggregation runs before the shuffle.
@@ -41,12 +43,16 @@ def eager_join(
     Output: groups, ``rows`` (join rows) and each sum as over the join. A
     left sum is repeated once per matching right row and the reverse, hence
     sum times the other side's count. Null keys match nothing. Group columns
-    of one name on both sides must be renamed first.
+    of one name on both sides must be renamed first. ``on`` may be among the
+    groups. A side that has a column ``rows`` is a compact state: its rows count
+    as that many.
     """
-    l = left.where(F.col(on).isNotNull()).groupBy(on, *left_groups).agg(F.count(F.lit(1)).alias("_nl"), *[F.sum(c).alias(f"_l_{c}") for c in left_sums])
-    r = right.where(F.col(on).isNotNull()).groupBy(on, *right_groups).agg(F.count(F.lit(1)).alias("_nr"), *[F.sum(c).alias(f"_r_{c}") for c in right_sums])
+    counted = lambda df: F.sum("rows") if "rows" in df.columns else F.count(F.lit(1))
+    keys = lambda groups: [on, *[g for g in groups if g != on]]
+    l = left.where(F.col(on).isNotNull()).groupBy(*keys(left_groups)).agg(counted(left).alias("_nl"), *[F.sum(c).alias(f"_l_{c}") for c in left_sums])
+    r = right.where(F.col(on).isNotNull()).groupBy(*keys(right_groups)).agg(counted(right).alias("_nr"), *[F.sum(c).alias(f"_r_{c}") for c in right_sums])
     j = l.join(r, on)
-    return j.groupBy(*left_groups, *right_groups).agg(
+    return j.groupBy(*dict.fromkeys([*left_groups, *right_groups])).agg(
         F.sum(F.col("_nl") * F.col("_nr")).alias("rows"),
         *[F.sum(F.col(f"_l_{c}") * F.col("_nr")).alias(c) for c in left_sums],
         *[F.sum(F.col(f"_r_{c}") * F.col("_nl")).alias(c) for c in right_sums],
@@ -66,10 +72,13 @@ def edge_totals(edges: DataFrame, key: str) -> DataFrame:
 def heavy_keys(edges: DataFrame, key: str, share: float) -> DataFrame:
     """Keys that hold at least ``share`` of all rows: key, rows, total.
 
-    The per-key states are joined with the state of the whole table (one row).
-    A null key counts towards the total and is no key.
+    The edges are read once, into written compact states. Each key's rows are
+    those of the edges joined with the key's vertex (one row per key), by eager
+    aggregation over the states; the total is rolled up from them too. A null
+    key counts towards the total and is no key; an empty table gives no rows.
     """
-    states = edge_states(edges)
-    per_key = states.groupBy(key).agg(F.sum("rows").alias("rows")).withColumn("_all", F.lit(1))
-    total = states.groupBy(F.lit(1).alias("_all")).agg(F.sum("rows").alias("total"))
-    return per_key.join(total, "_all").where(F.col(key).isNotNull() & (F.col("rows") >= F.col("total") * F.lit(share))).select(key, "rows", "total")
+    states = Cuts(edges.sparkSession, "states").put(edge_states(edges).select("dst", "relacao", "rows"))
+    total = states.agg(F.sum("rows")).first()[0] or 0  # one number
+    vertex = states.select(F.col(key)).distinct()
+    per_key = eager_join(states, vertex, key, left_groups=[key])
+    return per_key.where(F.col("rows") >= F.lit(total) * F.lit(share)).select(key, "rows", F.lit(total).cast("long").alias("total"))
