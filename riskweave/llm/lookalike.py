@@ -11,6 +11,7 @@ usual way, so both ways of writing compare equal.
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.runtime import Cuts
+
 # Letters of other scripts that are drawn like a Latin letter.
 DRAWN_ALIKE = {
     "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СϹⅭ", "D": "Ꭰ", "E": "ΕЕᎬ", "H": "ΗНᎻ", "I": "ΙІӀ", "J": "ЈᎫ", "K": "ΚКᏦ", "L": "Ꮮ",
@@ -76,6 +79,10 @@ def lookalike_classes() -> list[list[str]]:
             d = unicodedata.decomposition(c)
             if d.startswith(("<wide>", "<narrow>")):
                 uf.union(c, unicodedata.normalize("NFD", "".join(chr(int(x, 16)) for x in d.split()[1:])))
+            elif d.startswith("<noBreak>") or (kind == "Nl" and d.startswith("<compat>")):
+                parts = "".join(chr(int(x, 16)) for x in d.split()[1:])  # blanks apart: hyphens that do not break, numerals drawn as one letter
+                if len(parts) == 1:
+                    uf.union(c, parts)
             elif d.startswith("<compat>") and "LIGATURE" in unicodedata.name(c, ""):
                 parts = "".join(chr(int(x, 16)) for x in d.split()[1:])
                 if len(parts) > 1 and parts.isalpha():
@@ -106,23 +113,78 @@ def code_point_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(text).mapInArrow(run, schema).groupBy("cp").agg(F.sum("n").alias("n"))
 
 
+SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "CHEROKEE")
+
+
+def script(c: str) -> str | None:
+    """The script of a letter, of those that share drawn letters."""
+    name = unicodedata.name(c, "")
+    return next((s for s in SCRIPTS if name.startswith(s + " ")), None)
+
+
+class WordScripts:
+    """Brings the shared letters of a word to one script.
+
+    Possible is a script that has every letter of the word, its own or shared
+    ones; of several the one most frequent in the corpus. The choice rests on
+    the look alone, so words that look the same stay equal.
+    """
+
+    def __init__(self, classes: list[list[str]], representative: dict[str, str], counts: dict[int, int]):
+        self.to: dict[str, dict[str, str]] = {}
+        for members in classes:
+            letters = {s: m for m in reversed(members) if len(m) == 1 and (s := script(m))}
+            if len(letters) > 1:
+                self.to[representative[members[0]]] = letters
+        shared = {m for members in classes for m in members if len(m) == 1}
+        self.own = {chr(cp): s for cp in (*range(0x41, 0x250), *range(0x370, 0x590), *range(0x13A0, 0x1400)) if (s := script(chr(cp))) and chr(cp) not in shared}
+        weight = dict.fromkeys(SCRIPTS, 0)
+        for cp, n in counts.items():
+            if s := script(chr(cp)):
+                weight[s] += n
+        self.order = sorted(SCRIPTS, key=lambda s: -weight[s])
+        first = self.order[0]
+        if all(first in v for v in self.to.values()):
+            # only words with another script's own letter, or a shared letter that stands in another script, change
+            odd = re.escape("".join([*[c for c, s in self.own.items() if s != first], *[c for c in self.to if script(c) != first]]))
+            self.some = re.compile(f"[{odd}]")
+            self.word = re.compile(rf"(?<![^\W\d_])[^\W\d_]*?[{odd}](?:[^\W\d_]|[\u0300-\u036f])*")
+        else:
+            self.some = None
+            self.word = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
+
+    def _one(self, m: re.Match) -> str:
+        w = m[0]
+        possible = set(SCRIPTS)
+        for c in w:
+            if c in self.own:
+                possible &= {self.own[c]}
+            elif c in self.to:
+                possible &= self.to[c].keys()
+        kind = next((s for s in self.order if s in possible), None)
+        return w if kind is None else "".join(self.to[c][kind] if c in self.to else c for c in w)
+
+    def __call__(self, text: str) -> str:
+        return text if self.some and not self.some.search(text) else self.word.sub(self._one, text)
+
+
 class Rewriter:
     """Rewrites a text to its one form, given corpus counts of code points."""
 
     def __init__(self, counts: dict[int, int]):
         import ahocorasick
 
-        self.simple = True
+        moved: list[str] = []
         first = ahocorasick.Automaton()
-        n = 0
         freq = lambda s: min((counts.get(ord(c), 0) for c in s), default=1 << 62)
-        for members in lookalike_classes():
+        classes, representative = lookalike_classes(), {}
+        for members in classes:
             best = min(members, key=lambda s: (-freq(s), len(s), s))
+            representative |= dict.fromkeys(members, best)
             for m in members:
                 if m and m != best:
                     first.add_word(m, (len(m), best))
-                    n += 1
-                    self.simple &= not m.isascii()
+                    moved += [m] if m.isascii() else []
         # a joiner between drawn symbols changes the picture: it stays
         for cp in counts:
             if unicodedata.category(chr(cp)) == "So":
@@ -138,6 +200,9 @@ class Rewriter:
         if self.joins:
             second.make_automaton()
         self.first, self.second = first, second
+        self.scripts = WordScripts(classes, representative, counts)
+        # ASCII letters that stand for their class elsewhere come back in a Latin word
+        self.simple = self.scripts.order[0] == "LATIN" and all(self.scripts.to.get(representative[m], {}).get("LATIN") == m for m in moved)
 
     @staticmethod
     def _apply(a, text: str) -> str:
@@ -157,7 +222,7 @@ class Rewriter:
         if self.simple and text.isascii():
             return text
         t = self._apply(self.first, unicodedata.normalize("NFD", text))
-        t = unicodedata.normalize("NFD", t)  # marks around removed characters come into order
+        t = self.scripts(unicodedata.normalize("NFD", t))  # marks around removed characters come into order
         return self._apply(self.second, t) if self.joins else t
 
 
@@ -204,22 +269,29 @@ def one_form(df: DataFrame, key: str, text: str, out: str = "text", keys_only: b
 
 
 def same_look(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, raw_key, form_key, n_texts): one row per text; form_key is the class, n_texts its number of different strings."""
-    k = one_form(df, key, text, keys_only=True).where(F.col("form_key").isNotNull())
-    return k
+    """(key, raw_key, form_key): one row per text that is not null; form_key is its class."""
+    return one_form(df, key, text, keys_only=True).where(F.col("form_key").isNotNull())
+
+
+def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, form_key, n_texts, n_docs): each text with its class, the class's different strings and its texts."""
+    k = Cuts(df.sparkSession, "look").put(same_look(df, key, text))
+    n = k.groupBy("form_key", "raw_key").agg(F.count(F.lit(1)).alias("d")).groupBy("form_key").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("d").alias("n_docs"))
+    return k.join(n, "form_key").select(key, F.hex("form_key").alias("form_key"), "n_texts", "n_docs")
 
 
 def same_look_pairs(df: DataFrame, key: str, text: str, a: str, b: str) -> DataFrame:
     """Pairs of different texts that look the same (a < b).
 
-    Only classes with at least two different strings are joined; exact copies
-    alone never meet.
+    The different strings of a class meet once each and are then expanded to
+    their texts, so exact copies never meet one another and the work is that of
+    the result.
     """
-    from riskweave.runtime import Cuts
-
     k = Cuts(df.sparkSession, "look").put(same_look(df, key, text))
-    mixed = k.groupBy("form_key").agg(F.min("raw_key").alias("_lo"), F.max("raw_key").alias("_hi")).where("_lo <> _hi").select("form_key")
-    m = k.join(mixed, "form_key")
-    x = m.select("form_key", F.col(key).alias(a), F.col("raw_key").alias("_ra"))
-    y = m.select("form_key", F.col(key).alias(b), F.col("raw_key").alias("_rb"))
-    return x.join(y, "form_key").where((F.col(a) < F.col(b)) & (F.col("_ra") != F.col("_rb"))).select(a, b)
+    strings = k.select("form_key", "raw_key").distinct()
+    mixed = strings.groupBy("form_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("form_key")
+    s = strings.join(mixed, "form_key")
+    met = s.select("form_key", F.col("raw_key").alias("_x")).join(s.select("form_key", F.col("raw_key").alias("_y")), "form_key").where("_x < _y").select("_x", "_y")
+    doc = k.join(mixed, "form_key", "left_semi").select("raw_key", F.col(key).alias("_d"))
+    met = met.join(doc.select(F.col("raw_key").alias("_x"), F.col("_d").alias("_dx")), "_x").join(doc.select(F.col("raw_key").alias("_y"), F.col("_d").alias("_dy")), "_y")
+    return met.select(F.least("_dx", "_dy").alias(a), F.greatest("_dx", "_dy").alias(b))

@@ -42,11 +42,16 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_look_pairs(read(spark, d, "documents"), "doc_id", "text", "doc_id_a", "doc_id_b")
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each text with the class of its look and the class's sizes."""
+    return lookalike.look_classes(read(spark, d, "documents"), "doc_id", "text")
+
+
 def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.one_form(read(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p7_found, p8_ids, p9_shares, p9_mix, p10_found, p10_texts)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p7_found, p8_ids, p9_shares, p9_mix, p10_found, p10_classes, p10_texts)}
 
 SQL = {
     "p7_found": """WITH RECURSIVE rows AS (
