@@ -73,15 +73,20 @@ class SeenLedger:
             return None
         return self.spark.read.schema(BITMAPS).parquet(*[f"{self.path}/{x}" for x in m["seen"]]).groupBy("shard", "bucket").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
 
-    def admit(self, batch: DataFrame, id_col: str, order: Sequence[Column], payload: Sequence[str] = ()) -> DataFrame:
+    def admit(self, batch: DataFrame, id_col: str, order: Sequence[Column], payload: Sequence[str] = (), token: str | None = None) -> DataFrame:
         """One row per identifier of the batch: id, arrivals, admitted (its bit was unset), payload of the first arrival.
 
         The first arrival is the least by ``order`` then payload, so ties and
-        full copies give one defined result. Runs the batch and commits the state.
+        full copies give one defined result. Runs the batch and commits the
+        state. A batch repeated with the ``token`` of the last commit gets that
+        commit's answer again and changes nothing.
         """
         spark = self.spark
         base = self.version()
         m = self._manifest(base)
+        answer = lambda coded: coded.select("id", "arrivals", "admitted", *[F.col(f"_first._p{i}").alias(p) for i, p in enumerate(payload)])
+        if token is not None and m.get("token") == token:
+            return answer(spark.read.parquet(f"{self.path}/{m['at']}/coded"))
         shards = m["shards"] or self.wanted or max(8, -(-estimated_bytes(batch) // SHARD_BYTES))
         if self.wanted and m["shards"] and self.wanted != m["shards"]:
             raise ValueError(f"the ledger has {m['shards']} shards, not {self.wanted}")
@@ -120,13 +125,13 @@ class SeenLedger:
         put(coded.where("admitted").groupBy("shard", "bucket").agg(F.expr("bitmap_construct_agg(position)").alias("bits")), "seen")
         top = {r[0]: r[1] for r in coded.where("new").groupBy("shard").agg(F.max("code") + 1).collect()}  # one number per shard
         old = m["next"] or [0] * shards
-        out = {"shards": shards, "next": [max(old[s], top.get(s, 0)) for s in range(shards)], "dictionary": [*m["dictionary"], f"{at}/dictionary"], "seen": [*m["seen"], f"{at}/seen"]}
+        out = {"shards": shards, "next": [max(old[s], top.get(s, 0)) for s in range(shards)], "dictionary": [*m["dictionary"], f"{at}/dictionary"], "seen": [*m["seen"], f"{at}/seen"], "token": token, "at": at}
         if len(out["seen"]) > COMPACT_AFTER:
             put(spark.read.schema(DICTIONARY).parquet(*[f"{self.path}/{x}" for x in out["dictionary"]]), "whole/dictionary")
             put(self._seen(out), "whole/seen")
             out |= {"dictionary": [f"{at}/whole/dictionary"], "seen": [f"{at}/whole/seen"]}
         self._commit(base + 1, out)
-        return coded.select("id", "arrivals", "admitted", *[F.col(f"_first._p{i}").alias(p) for i, p in enumerate(payload)])
+        return answer(coded)
 
     def _commit(self, version: int, manifest: dict) -> None:
         """The manifest is written whole beside and takes its name only where none has it yet."""
