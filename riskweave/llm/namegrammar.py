@@ -116,14 +116,12 @@ def _is_given(w: str) -> bool:
 
 
 def describe(words: list[str], typed: dict[str, str] | None = None) -> tuple | None:
-    """(kind, key, first, second, firsts) or None.
+    """(kind, key, first, second, firsts, third) or None.
 
-    ``typed`` gives corrected words as they were written: a middle word keeps
-    its own initial, since others may hold no more of it than that.
-
-    A person (P): family word, given word or initial, middle words, the full
-    given names the given word may stand for. An organisation (O): distinctive
-    word, trade, addition, none.
+    A person (P): family word, given word or initial, middle words as typed,
+    the full given names the given word may stand for, middle words corrected.
+    An organisation (O): distinctive word, trade, addition, none, none.
+    ``typed`` gives corrected words as they were written.
     """
     trade = next((TRADES[x] for x in words if x in TRADES), None)
     addition = next((x for x in words if x in ADDITIONS), None)
@@ -131,14 +129,13 @@ def describe(words: list[str], typed: dict[str, str] | None = None) -> tuple | N
     if trade or addition or len(w) == 1:
         core = [x for x in w if x not in TRADES and x not in ADDITIONS and len(x) > 1]
         key = max(core, key=lambda x: (len(x), x), default=None)
-        return ("O", key, trade, addition, None) if key and len(key) > 2 else None
+        return ("O", key, trade, addition, None, None) if key and len(key) > 2 else None
     if not _is_given(w[0]) and len(w[0]) > 1 and _is_given(w[1]):
         w = [*w[1:], w[0]]
     if len(w[-1]) < 3:
         return None
     first = w[0]
-    own = lambda x: typed[x] if typed and x in typed and typed[x][0] != x[0] else x
-    return "P", w[-1], first, " ".join(map(own, w[1:-1])) or None, None if len(first) == 1 else given_candidates(first)
+    return "P", w[-1], first, " ".join((typed or {}).get(x, x) for x in w[1:-1]) or None, None if len(first) == 1 else given_candidates(first), " ".join(w[1:-1]) or None
 
 
 def word_likeness(a: str, b: str) -> float:

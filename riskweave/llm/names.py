@@ -27,7 +27,7 @@ from riskweave.runtime import Cuts
 
 #: Least Monge-Elkan similarity of a name and the center of its star.
 VERIFIED = 0.7
-RECALL = 0.9
+RECALL = 0.95
 
 
 def name_records(hub: DataFrame, cards: DataFrame) -> DataFrame:
@@ -47,16 +47,18 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for words, changes in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            typed = {}
+            typed, others = {}, {}
             if changes:
                 new = {c["pos"]: c["to"] for c in changes}
                 typed = {c["to"][0]: words[c["pos"]] for c in changes if len(c["to"]) == 1}
+                others = {c["to"][0]: c["others"] for c in changes if c["others"]}
                 words = [x for i, w in enumerate(words) for x in new.get(i, [w])]
-            out.append((describe(words, typed) if words else None) or (None,) * 5)
-        kind, key, first, second, firsts = zip(*out, strict=True) if out else ((),) * 5
+            got = (describe(words, typed) if words else None) or (None,) * 6
+            out.append((*got, [got[1], *sorted(others[got[1]])] if got[1] in others else None))
+        kind, key, first, second, firsts, third, keys = zip(*out, strict=True) if out else ((),) * 7
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), b.column(2), *[pa.array(c, pa.string()) for c in (kind, key, first, second)], pa.array(firsts, pa.list_(pa.string()))],
-            names=["text", "n", "words", "kind", "key", "first", "second", "firsts"],
+            [b.column(0), b.column(1), b.column(2), *[pa.array(c, pa.string()) for c in (kind, key, first, second, third)], *[pa.array(c, pa.list_(pa.string())) for c in (firsts, keys)]],
+            names=["text", "n", "words", "kind", "key", "first", "second", "third", "firsts", "keys"],
         )
 
 
@@ -82,17 +84,34 @@ def run_ons(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def described(records: DataFrame, cuts: Cuts) -> DataFrame:
-    """text, n, words, kind, key, first, second, firsts of each text that names somebody."""
+    """text, n, words, kind, key, first, second, third, firsts, keys of each text that names somebody; keys are the candidates where the key word is a misspelling of several words alike."""
     texts = cuts.put(records.groupBy("text").agg(F.count(F.lit(1)).alias("n")).mapInArrow(_words, "text string, n long, words array<string>").where(F.col("words").isNotNull()))
     vocabulary = cuts.put(texts.select(F.explode("words").alias("w")).where(F.length("w") >= 2).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
     bands, rows = choose_bands(vocabulary.count(), recall=RECALL)
     wrong = cuts.put(misspellings(vocabulary, cuts, lambda w: with_band_keys(w, bands, rows), typing_errors, KNOWN, 4.0))
     split = run_ons(vocabulary, vocabulary.join(wrong, "w", "left_anti"))
-    changes = cuts.put(wrong.select("w", F.array("center").alias("parts")).unionByName(split))
+    changes = cuts.put(wrong.select("w", F.array("center").alias("parts"), "others").unionByName(split.withColumn("others", F.expr("cast(array() as array<string>)"))))
     open_words = texts.select("text", F.posexplode("words").alias("pos", "w")).where((F.length("w") >= 5) & ~F.col("w").isin(sorted(KNOWN)))
-    changed = open_words.join(changes, "w").groupBy("text").agg(F.collect_list(F.struct("pos", F.col("parts").alias("to"))).alias("changes"))
+    changed = open_words.join(changes, "w").groupBy("text").agg(F.collect_list(F.struct("pos", F.col("parts").alias("to"), "others")).alias("changes"))
     out = texts.join(changed, "text", "left").select("text", "n", "words", "changes")
-    return out.mapInArrow(_described, "text string, n long, words array<string>, kind string, key string, first string, second string, firsts array<string>").where(F.col("kind").isNotNull())
+    return out.mapInArrow(_described, "text string, n long, words array<string>, kind string, key string, first string, second string, third string, firsts array<string>, keys array<string>").where(F.col("kind").isNotNull())
+
+
+def with_key(p: DataFrame) -> DataFrame:
+    """The names with one key word each.
+
+    A key word that is a misspelling of several words alike becomes the one
+    that other names with these initials (or this trade) have; where none or
+    several do, the most frequent.
+    """
+    sure, open_ = p.where("keys is null"), p.where("keys is not null")
+    first, second = F.when(F.col("kind") == "P", F.substring("first", 1, 1)), F.when(F.col("kind") == "P", F.substring("second", 1, 1)).otherwise(F.col("first"))
+    at = lambda df: df.select("*", F.coalesce(first, F.lit("")).alias("_1"), second.alias("_2"))
+    have = at(sure).groupBy("kind", "key", "_1").agg(F.collect_set("_2").alias("_have"), F.max(F.col("_2").isNull()).alias("_bare"))
+    tried = at(open_).select("text", "kind", "_1", "_2", F.col("key").alias("_best"), F.explode("keys").alias("key")).join(have, ["kind", "key", "_1"], "left")
+    score = F.when(F.col("_have").isNull(), 0).when(F.col("_2").isNull() | F.col("_bare") | F.array_contains("_have", F.col("_2")), 2).otherwise(1)
+    chosen = tried.groupBy("text").agg(F.max(F.struct(score.alias("s"), (F.col("key") == F.col("_best")).alias("b"), "key")).alias("_t")).select("text", F.col("_t.key").alias("_key"))
+    return sure.drop("keys").unionByName(open_.drop("keys").join(chosen, "text").withColumn("key", F.col("_key")).drop("_key"))
 
 
 def _under(*parts) -> Column:
@@ -100,15 +119,15 @@ def _under(*parts) -> Column:
 
 
 def _person_keys(g: Column) -> Column:
-    """Keys that a person is found under: by middle words, by their initial, by nothing more."""
-    k, m, ml = F.col("key"), F.col("m"), F.col("ml")
-    return F.when(F.col("mfull"), F.array(_under(k, g, "M", m), _under(k, g, "I", ml), _under(k, g, "*"))).when(ml.isNotNull(), F.array(_under(k, g, "J", ml), _under(k, g, "I", ml), _under(k, g, "*"))).otherwise(F.array(_under(k, g, "N"), _under(k, g, "*")))
+    """Keys that a person is found under: by middle words as typed and corrected, by their initial, by nothing more."""
+    k, m, mc, ml = F.col("key"), F.col("m"), F.col("mc"), F.col("ml")
+    return F.when(F.col("mfull"), F.array(_under(k, g, "M", m), _under(k, g, "M", mc), _under(k, g, "I", ml), _under(k, g, "*"))).when(ml.isNotNull(), F.array(_under(k, g, "J", ml), _under(k, g, "I", ml), _under(k, g, "*"))).otherwise(F.array(_under(k, g, "N"), _under(k, g, "*")))
 
 
 def _person_looks(g: Column) -> Column:
     """Keys that a name with a shortened given word looks under."""
-    k, m, ml = F.col("key"), F.col("m"), F.col("ml")
-    return F.when(F.col("mfull"), F.array(_under(k, g, "M", m), _under(k, g, "J", ml), _under(k, g, "N"))).when(ml.isNotNull(), F.array(_under(k, g, "I", ml), _under(k, g, "N"))).otherwise(F.array(_under(k, g, "*")))
+    k, m, mc, ml = F.col("key"), F.col("m"), F.col("mc"), F.col("ml")
+    return F.when(F.col("mfull"), F.array(_under(k, g, "M", m), _under(k, g, "M", mc), _under(k, g, "J", ml), _under(k, g, "N"))).when(ml.isNotNull(), F.array(_under(k, g, "I", ml), _under(k, g, "N"))).otherwise(F.array(_under(k, g, "*")))
 
 
 def _settle(forms: DataFrame, got: DataFrame, fresh: Column) -> DataFrame:
@@ -117,7 +136,7 @@ def _settle(forms: DataFrame, got: DataFrame, fresh: Column) -> DataFrame:
     return j.withColumn("e", F.when(F.col("lo").isNull(), fresh).when(F.col("lo") == F.col("hi"), F.col("lo"))).withColumn("new", F.col("lo").isNull()).drop("lo", "hi")
 
 
-_FORM = ["fid", "key", "g", "gi", "firsts", "m", "ml", "mfull"]
+_FORM = ["fid", "key", "g", "gi", "firsts", "m", "mc", "ml", "mfull"]
 
 
 def _one_middle(a: DataFrame, cuts: Cuts) -> DataFrame:
@@ -125,19 +144,20 @@ def _one_middle(a: DataFrame, cuts: Cuts) -> DataFrame:
 
     Candidates share the middle words less one letter, so no two persons meet by their key word alone.
     """
-    m = a.where(F.length("m") >= SHORTEST).groupBy("e", "key", "g", "m").agg(F.count(F.lit(1)).alias("n"))
+    n = a.groupBy("e").agg(F.count(F.lit(1)).alias("n"))
+    m = a.where(F.length("m") >= SHORTEST).select("e", "key", "g", "m").distinct().join(n, "e")
     m = m.select("e", "n", "m", F.explode(F.transform(deletion_keys(F.col("m")), lambda h: F.concat_ws("|", "key", "g", h.cast("string")))).alias("k"))
     lo, hi = (m.select("k", *[F.col(c).alias(c + s) for c in ("e", "n", "m")]) for s in ("a", "b"))
     up = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("eb") > F.col("ea")))
-    met = lo.join(hi, "k").where(up).withColumn("d", typing_errors(F.col("ma"), F.col("mb"))).where(F.col("d").isNotNull())
-    edges = cuts.put(met.select(F.col("ea").alias("a"), F.col("eb").alias("b"), "nb", "d").distinct())
+    met = lo.join(hi, "k").where(up & (F.col("ea") != F.col("eb"))).withColumn("d", typing_errors(F.col("ma"), F.col("mb"))).where(F.col("d").isNotNull())
+    edges = cuts.put(met.select(F.col("ea").alias("a"), F.col("eb").alias("b"), "nb", "d").groupBy("a", "b").agg(F.max("nb").alias("nb"), F.min("d").alias("d")))
     return stars(a.select(F.col("e").alias("w")), edges, cuts).select(F.col("w").alias("e"), F.col("center").alias("to"))
 
 
 def _full_persons(forms: DataFrame, cuts: Cuts) -> DataFrame:
     """Stars of names with one given word ``g``: full middle words, then their initials, then none."""
     g = F.col("g")
-    a = forms.where("mfull").withColumn("e", _under(F.col("key"), g, F.col("m"))).withColumn("new", F.lit(True))
+    a = forms.where("mfull").withColumn("e", _under(F.col("key"), g, F.col("mc"))).withColumn("new", F.lit(True))
     a = a.join(_one_middle(a, cuts), "e", "left").withColumn("e", F.coalesce("to", "e")).drop("to").select(*forms.columns, "e", "new")
     b = _settle(forms.where("ml is not null and not mfull"), lookup(forms.where("ml is not null and not mfull"), F.array(_under(F.col("key"), g, "I", F.col("ml"))), index_of(a, _person_keys(g))), _under(F.col("key"), g, F.concat("ml", F.lit("."))))
     ab = a.unionByName(b)
@@ -147,10 +167,14 @@ def _full_persons(forms: DataFrame, cuts: Cuts) -> DataFrame:
 
 
 def persons(p: DataFrame, cuts: Cuts) -> DataFrame:
-    """fid, e of the persons' names."""
-    f = p.where("kind = 'P'").select("fid", "key", "first", "second", "firsts").distinct()
+    """fid, e of the persons' names.
+
+    Names with a full given word make the stars; short forms and initials look
+    among them; what finds none makes stars of its own.
+    """
+    f = p.where("kind = 'P'").select("fid", "key", "first", "second", "third", "firsts").distinct()
     f = f.select(
-        "fid", "key", F.when(F.size("firsts") == 1, F.col("firsts")[0]).alias("g"), F.substring("first", 1, 1).alias("gi"), F.when(F.size("firsts") > 1, F.col("firsts")).alias("firsts"), F.col("second").alias("m"),
+        "fid", "key", F.when(F.size("firsts") == 1, F.col("firsts")[0]).alias("g"), F.substring("first", 1, 1).alias("gi"), F.when(F.size("firsts") > 1, F.col("firsts")).alias("firsts"), F.col("second").alias("m"), F.col("third").alias("mc"),
         F.substring("second", 1, 1).alias("ml"), F.coalesce(F.length(F.split("second", " ")[0]) > 1, F.lit(False)).alias("mfull"), "first",
     )
     f = cuts.put(f)
@@ -158,18 +182,19 @@ def persons(p: DataFrame, cuts: Cuts) -> DataFrame:
     known = one.where("new")
     short = f.where("g is null")
     by_name = index_of(known, _person_keys(F.col("g")))
-    by_initial = index_of(known.withColumn("gi", F.substring("g", 1, 1)), _person_keys(F.concat("gi", F.lit("."))))
-    several = short.where("firsts is not null")
-    # one lookup per full name the short form may stand for
-    s = several.withColumn("g", F.explode("firsts"))
-    got = s.select("fid", F.explode(_person_looks(F.col("g"))).alias("k")).join(by_name, "k").groupBy("fid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    got = got.unionByName(lookup(short.where("firsts is null"), _person_looks(F.concat("gi", F.lit("."))), by_initial))
-    two = cuts.put(_settle(short, got, F.lit(None).cast("string")))
+    by_initial = index_of(known, _person_keys(F.concat(F.substring("g", 1, 1), F.lit("."))))
+    two = cuts.put(_settle(short, _short_looks(short, by_name, by_initial), F.lit(None).cast("string")))
     rest = two.where("new").withColumn("g", F.concat("first", F.lit("."))).select(_FORM)
     three = _full_persons(rest, cuts)
     return one.select("fid", "e").unionByName(two.where("not new").select("fid", "e")).unionByName(three.select("fid", "e"))
 
 
+def _short_looks(short: DataFrame, by_name: DataFrame, by_initial: DataFrame) -> DataFrame:
+    """fid, lo, hi for names with a short form (a look under each full name it may stand for) or an initial."""
+    several = short.where("firsts is not null").withColumn("g", F.explode("firsts"))
+    return lookup(several, _person_looks(F.col("g")), by_name).unionByName(lookup(short.where("firsts is null"), _person_looks(F.concat("gi", F.lit("."))), by_initial))
+
+
 def organisations(p: DataFrame, cuts: Cuts) -> DataFrame:
     """fid, e of the organisations' names: trade and addition, then one of them, then neither."""
     k, t, a = F.col("key"), F.col("first"), F.col("second")
@@ -196,8 +221,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def named_texts(records: DataFrame, cuts: Cuts) -> DataFrame:
     """text, e: the entity of each text; texts that name nobody or several are left out."""
-    fid = F.concat_ws("|", "kind", "key", F.coalesce("first", F.lit("")), F.coalesce("second", F.lit("")))
-    p = cuts.put(described(records, cuts).withColumn("fid", fid))
+    fid = F.concat_ws("|", "kind", "key", F.coalesce("first", F.lit("")), F.coalesce("second", F.lit("")), F.coalesce("third", F.lit("")))
+    p = cuts.put(with_key(cuts.put(described(records, cuts))).withColumn("fid", fid))
     e = cuts.put(persons(p, cuts).unionByName(organisations(p, cuts)).where(F.col("e").isNotNull()))
     j = cuts.put(p.join(e, "fid").select("text", "n", "words", "e"))
     center = j.groupBy("e").agg(F.max(F.struct(F.size("words").alias("s"), "n", "words")).alias("_c")).select("e", F.col("_c.words").alias("center"))

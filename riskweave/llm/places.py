@@ -65,7 +65,7 @@ def with_locality(forms: DataFrame, cuts: Cuts) -> DataFrame:
     hints = forms.where("hint <> ''").select(F.col("hint").alias("p"), F.lit(True).alias("sure"))
     seen = cuts.put(named.select("p", "sure").unionByName(hints).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("sure"), F.lit(False)).alias("sure")))
     wrong = misspellings(seen.select(F.col("p").alias("w"), "n"), cuts, with_deletion_keys, few_edits, rarer=4.0)
-    center = seen.join(wrong.withColumnRenamed("w", "p"), "p", "left").withColumn("c", F.coalesce("center", "p"))
+    center = seen.join(wrong.select(F.col("w").alias("p"), "center"), "p", "left").withColumn("c", F.coalesce("center", "p"))
     localities = center.groupBy("c").agg(F.max("sure").alias("is_loc")).where("is_loc")
     known = cuts.put(center.join(localities, "c").select("p", "c"))
     at = F.max(F.struct(F.coalesce("sure", F.lit(False)).alias("sure"), "i", "c")).alias("_l")
@@ -82,7 +82,7 @@ def streets(forms: DataFrame, cuts: Cuts) -> tuple[DataFrame, DataFrame]:
     """(forms with ``sid``, candidates): sid names a written street, candidates is (sid, e), its streets; more than one where it stays ambiguous."""
     counts = forms.groupBy(F.col("street").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     wrong = misspellings(cuts.put(counts), cuts, with_deletion_keys, few_edits, rarer=4.0)
-    f = forms.join(wrong.withColumnRenamed("w", "street"), "street", "left").withColumn("name", F.coalesce("center", "street")).drop("center", "street")
+    f = forms.join(wrong.select(F.col("w").alias("street"), "center"), "street", "left").withColumn("name", F.coalesce("center", "street")).drop("center", "street")
     sid = F.xxhash64(*[F.coalesce(c, F.lit("")) for c in STREET])
     f = cuts.put(f.withColumn("sid", sid))
     s = cuts.put(f.groupBy("sid", *STREET).agg(F.count(F.lit(1)).alias("n")))

@@ -31,7 +31,7 @@ def collision(similarity: float, bands: int, rows: int) -> float:
     return 1 - (1 - similarity**rows) ** bands
 
 
-def choose_bands(words: int, alike: float = 0.57, unlike: float = 0.12, recall: float = 0.9) -> tuple[int, int]:
+def choose_bands(words: int, alike: float = 0.57, unlike: float = 0.12, recall: float = 0.95) -> tuple[int, int]:
     """(bands, rows) from the collision curve.
 
     Of words with one typing error nine in ten are as similar as ``alike`` or
@@ -122,12 +122,13 @@ def typing_errors(a: Column, b: Column) -> Column:
 
 
 def stars(words: DataFrame, edges: DataFrame, cuts: Cuts) -> DataFrame:
-    """(w, center) of every satellite.
+    """(w, center, others) of every satellite.
 
     ``words`` is (w, n); ``edges`` is (a, b, nb, d): b is the more frequent
     word, ties by text, so edges run up a total order, d the edits between
     them. A word without a better neighbour is a center; its neighbours below
-    become satellites of their nearest center, of these the most frequent; a word all of whose better neighbours became satellites is
+    become satellites of their nearest center, of these the most frequent
+    (``others`` are equally near ones); a word all of whose better neighbours became satellites is
     a center again. The order has no circles, so each round settles at least
     the best unsettled word of every component.
     """
@@ -136,14 +137,17 @@ def stars(words: DataFrame, edges: DataFrame, cuts: Cuts) -> DataFrame:
     while not e.isEmpty():
         below = e.select(F.col("a").alias("b")).distinct()
         hit = e.join(below, "b", "left_anti")  # b has nothing better left: a center
-        sat = cuts.put(hit.groupBy("a").agg(F.max(F.struct((-F.col("d")).alias("d"), F.col("nb").alias("n"), F.col("b").alias("w"))).alias("_t")).select(F.col("a").alias("w"), F.col("_t.w").alias("center")))
+        near = F.struct((-F.col("d")).alias("d"), F.col("nb").alias("n"), F.col("b").alias("w"))
+        best = hit.groupBy("a").agg(F.max(near).alias("_t"), F.collect_set(F.struct("d", F.col("b").alias("w"))).alias("_s"))
+        others = F.transform(F.filter("_s", lambda x: (x["d"] == -F.col("_t.d")) & (x["w"] != F.col("_t.w"))), lambda x: x["w"])
+        sat = cuts.put(best.select(F.col("a").alias("w"), F.col("_t.w").alias("center"), others.alias("others")))
         done.append(sat)
         gone = sat.select(F.col("w").alias("a"))
         e = cuts.put(e.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti"))
         if last is not None:
             cuts.drop(last)
         last = e
-    out = done[0] if done else cuts.put(words.where(F.lit(False)).select("w", F.col("w").alias("center")))
+    out = done[0] if done else cuts.put(words.where(F.lit(False)).select("w", F.col("w").alias("center"), F.array("w").alias("others")))
     for d in done[1:]:
         out = out.unionByName(d)
     return out
@@ -157,7 +161,7 @@ def misspellings(
     fixed: Iterable[str] = (),
     rarer: float = 1.0,
 ) -> DataFrame:
-    """(w, center) of the words that are misspellings of a more frequent word.
+    """(w, center, others) of the words that are misspellings of a more frequent word.
 
     ``counts`` is (w, n), one row per word. ``fixed`` words are never
     misspellings. A word seen more than twice joins only words seen at least
