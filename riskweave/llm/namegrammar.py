@@ -6,6 +6,7 @@ says what a list of words names. Neither looks at other records.
 
 from __future__ import annotations
 
+import functools
 import re
 
 from riskweave.functions.addresses import PLACEHOLDERS, plain
@@ -91,6 +92,7 @@ def name_words(text: str | None) -> list[str] | None:
     return w or None
 
 
+@functools.lru_cache(maxsize=50_000)
 def given_candidates(w: str) -> list[str]:
     """Full given names a first word may stand for; itself where it is no short form."""
     if w in NICKNAMES:
@@ -138,6 +140,7 @@ def describe(words: list[str], typed: dict[str, str] | None = None) -> tuple | N
     return "P", w[-1], first, " ".join((typed or {}).get(x, x) for x in w[1:-1]) or None, None if len(first) == 1 else given_candidates(first), " ".join(w[1:-1]) or None
 
 
+@functools.lru_cache(maxsize=200_000)
 def word_likeness(a: str, b: str) -> float:
     """1 for one word, 0.9 for initials and short forms, less for typing errors, 0 for other words."""
     if a == b:

@@ -27,7 +27,7 @@ from riskweave.runtime import Cuts
 
 #: Least Monge-Elkan similarity of a name and the center of its star.
 VERIFIED = 0.7
-RECALL = 0.95
+RECALL = 0.92
 
 
 def name_records(hub: DataFrame, cards: DataFrame) -> DataFrame:

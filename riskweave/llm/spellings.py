@@ -22,8 +22,10 @@ from riskweave.runtime import Cuts
 
 #: Shortest word that may be a misspelling of another.
 SHORTEST = 5
+#: Added to the count of words that are never misspellings.
+FIXED = 1 << 40
 #: Candidates per word that the bands may bring in by chance.
-BY_CHANCE = 100.0
+BY_CHANCE = 200.0
 
 
 def collision(similarity: float, bands: int, rows: int) -> float:
@@ -31,7 +33,7 @@ def collision(similarity: float, bands: int, rows: int) -> float:
     return 1 - (1 - similarity**rows) ** bands
 
 
-def choose_bands(words: int, alike: float = 0.57, unlike: float = 0.12, recall: float = 0.95) -> tuple[int, int]:
+def choose_bands(words: int, alike: float = 0.57, unlike: float = 0.12, recall: float = 0.92) -> tuple[int, int]:
     """(bands, rows) from the collision curve.
 
     Of words with one typing error nine in ten are as similar as ``alike`` or
@@ -79,7 +81,7 @@ def band_keys(words: list[str], bands: int, rows: int) -> np.ndarray:
 
 
 def with_band_keys(words: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(w, n, f) once per band with its key ``k``; the words are long enough to have q-grams.
+    """(w, n) once per band with its key ``k``; the words are long enough to have q-grams.
 
     The vocabulary is spread over all cores first: it is small, its keys are many.
     """
@@ -97,7 +99,7 @@ def with_band_keys(words: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def with_deletion_keys(words: DataFrame) -> DataFrame:
-    """(w, n, f) once per deletion key ``k``."""
+    """(w, n) once per deletion key ``k``."""
     return words.select("*", F.explode(deletion_keys(F.col("w"))).alias("k"))
 
 
@@ -170,13 +172,14 @@ def misspellings(
     """
     known = sorted(set(fixed))
     sure = F.col("w").isin(known) if known else F.lit(False)
-    c = counts.where(F.length("w") >= SHORTEST).select("w", "n", sure.alias("f"))
+    # one number for both: fixed words come before all others
+    c = counts.where(F.length("w") >= SHORTEST).select("w", (F.col("n") + F.when(sure, FIXED).otherwise(0)).alias("n"))
     k = keyed(c)
     # both sides are one plan, so its exchange is written once
-    lo, hi = (k.select("k", *[F.col(c).alias(c + s) for c in ("w", "n", "f")]) for s in "ab")
-    na, nb = F.col("na"), F.col("nb") + F.when(F.col("fb"), 1 << 40).otherwise(0)
-    above = ~F.col("fa") & ((na <= 2) | (nb >= na * rarer)) & ((nb > na) | ((nb == na) & (F.col("wb") > F.col("wa"))))
-    met = lo.join(hi, "k").where(above & (F.abs(F.length("wa") - F.length("wb")) <= 3)).select(F.col("wa").alias("a"), F.col("wb").alias("b"), nb.alias("nb"))
+    lo, hi = (k.select("k", *[F.col(x).alias(x + s) for x in ("w", "n")]) for s in "ab")
+    na, nb = F.col("na"), F.col("nb")
+    above = (na < FIXED) & ((na <= 2) | (nb >= na * rarer)) & ((nb > na) | ((nb == na) & (F.col("wb") > F.col("wa"))))
+    met = lo.join(hi, "k").where(above & (F.abs(F.length("wa") - F.length("wb")) <= 3)).select(F.col("wa").alias("a"), F.col("wb").alias("b"), "nb")
     edges = cuts.put(met.withColumn("d", near(F.col("a"), F.col("b"))).where(F.col("d").isNotNull()).distinct())
     out = stars(counts, edges, cuts)
     cuts.drop(edges)

@@ -1,11 +1,13 @@
 """Address and name records that mean one location, person or organisation."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from riskweave.llm import names, places
 from riskweave.llm.namegrammar import describe, name_words
-from riskweave.runtime import session
+from riskweave.llm.spellings import choose_bands, collision, misspellings, typing_errors, with_band_keys, with_deletion_keys
+from riskweave.runtime import Cuts, session
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +50,44 @@ def test_name_grammar():
     assert told("DERRIRNHOTO/TIAO J") == ("P", "DERRIRNHOTO", "TIAO", "J")
     assert told("Papelaria Zonfer e Cia Ltda") == ("O", "ZONFER", "PAPELARIA", "CIA")
     assert name_words("CONSUMIDOR FINAL") is None and name_words("") is None and name_words(None) is None
+
+
+def test_empty_tables_nulls_long_texts_and_extra_columns(spark):
+    hub, cards = _hub(spark).withColumn("text", F.lit("x")).withColumn("rec", F.lit("y")), _cards(spark, [])
+    assert places.same_location_pairs(hub.limit(0), cards).count() == 0 and names.same_name_pairs(hub.limit(0), cards).count() == 0
+    long = "Rua Ana Trelfonso, 12, Porto Belvar " + "ap 1 " * 4000
+    rows = [(long, None, "x " * 3000, None), (None, None, None, None), ("", "", "", ""), ("Rua Ana Trelfonso, 12, Porto Belvar",) * 2 + ("Padaria Trelfonso ME",) * 2]
+    cards = _cards(spark, rows).withColumn("e", F.lit(1)).withColumn("n", F.lit(None).cast("string")).withColumn("location", F.lit("z"))
+    got = {tuple(r) for r in places.same_location_pairs(hub, cards).collect()}
+    assert {("EC:1", "PT:0"), ("EC:1", "PT:3"), ("EC:1", "EN:3"), ("EN:3", "PT:0"), ("PT:0", "PT:3")} == got  # EN:3 and PT:3 are copies
+    assert {tuple(r) for r in names.same_name_pairs(hub, cards).collect()} == {("EC:1", "NE:3"), ("EC:1", "PL:3")}
+
+
+def test_ambiguous_records_stay_unlinked(spark):
+    cards = _cards(
+        spark,
+        [
+            ("Rua Ana Trelfonso, 12, Porto Belvar/SP, CEP 11111-222", "Rua Ana Trelfonso, 12, Serra Mundil/BA, CEP 99999-000", "Ana Jarmposo Derrirnhoto", "Antonio Jarmposo Derrirnhoto"),
+            ("Rua Ana Trelfonso 12", "Rua Ana Trelfonso, 12, Serra Mundil", "A. J. Derrirnhoto", "Toninho Derrirnhoto"),
+        ],
+    )
+    hub = _hub(spark, "N/I", "TESTE", None)
+    assert {tuple(r) for r in places.same_location_pairs(hub, cards).collect()} == {("EN:0", "EN:1")}
+    assert {tuple(r) for r in names.same_name_pairs(hub, cards).collect()} == {("NE:0", "NE:1")}
+
+
+def test_collision_curve():
+    assert abs(collision(0.5, 2, 1) - 0.75) < 1e-12
+    for n in (10, 10_000, 1_000_000):
+        bands, rows = choose_bands(n)
+        assert collision(0.57, bands, rows) >= 0.92
+    assert choose_bands(1_000_000)[1] > choose_bands(100)[1]
+
+
+def test_stars_hang_on_centers_only(spark):
+    cuts = Cuts(spark, "test")
+    words = spark.createDataFrame([("TRELFONSO", 20), ("TRELFONSX", 1), ("TRELFONXX", 1), ("DERRIRNHOTO", 5), ("DERRIRNOHTO", 1), ("ABC", 9), ("ABD", 1)], "w string, n long")
+    got = {r["w"]: r["center"] for r in misspellings(words, cuts, lambda w: with_band_keys(w, 40, 2), typing_errors).collect()}
+    assert got["TRELFONSX"] == "TRELFONSO" and got["DERRIRNOHTO"] == "DERRIRNHOTO" and "ABD" not in got
+    assert set(got.values()) & set(got) == set()
+    assert misspellings(words.limit(0), cuts, with_deletion_keys).count() == 0
