@@ -117,10 +117,13 @@ def few_edits(a: Column, b: Column) -> Column:
 
 
 def typing_errors(a: Column, b: Column) -> Column:
-    """1 where one letter is wrong, missing, added or exchanged with its neighbour, 2 for two such letters in words of ten or more, else null."""
-    d, n = F.levenshtein(a, b, 2), F.greatest(F.length(a), F.length(b))  # -1 above two
+    """1 where one letter is wrong, missing, added or exchanged with its neighbour, else null.
+
+    Two errors are not allowed: different family words are often as near as that.
+    """
+    d = F.levenshtein(a, b, 2)  # -1 above two
     letters = lambda c: F.array_sort(F.split(c, ""))
-    return F.when(d.isin(0, 1) | ((d == 2) & (letters(a) == letters(b))), 1).when((d == 2) & (n >= 10), 2)
+    return F.when(d.isin(0, 1) | ((d == 2) & (letters(a) == letters(b))), 1)
 
 
 def stars(words: DataFrame, edges: DataFrame, cuts: Cuts) -> DataFrame:
