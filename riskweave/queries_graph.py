@@ -416,3 +416,21 @@ _FEATURES = f"""{_RANKS}, {_COMPONENTS}, {_STATS}, {_FLAGS.replace(_ATTR, _PAIRS
 def graph_features(spark: SparkSession, d: str) -> DataFrame:
     f = assembled(spark, d)
     return f.select("store", "degree", "accounts", "partners", F.round("rank", 6).alias("rank"), "size", "stores", "roots", "others_flagged", "shares_account", "cycles")
+
+
+@R.add(f"WITH RECURSIVE {G}, {_FEATURES} SELECT V.flagged, round(avg(coalesce(degree, 0)), 3) AS degree, round(avg(cs.stores), 3) AS stores, round(avg(CASE WHEN acc.store IS NULL THEN 0 ELSE 1 END), 3) AS shares_account FROM V LEFT JOIN deg USING (id) JOIN members m USING (id) JOIN cs ON cs.component = m.component LEFT JOIN acc ON acc.store = V.id WHERE V.type = 'LOJA' GROUP BY 1")
+def class_means(spark: SparkSession, d: str) -> DataFrame:
+    """Means of graph features of flagged and other stores."""
+    f = assembled(spark, d).join(vertices(spark, d).select(F.col("id").alias("store"), "flagged"), "store")
+    return features.class_means(f, "flagged", ["degree", "stores", "shares_account"])
+
+
+@R.add()
+def community_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Per store: stores of its community, their mean chargeback and flagged ones, itself left out."""
+    from riskweave.operators.relational import leave_one_out
+
+    lab = label_propagation(spark, d).join(vertices(spark, d).where("type = 'LOJA'").select("id", "flagged", "chargeback_pct"), "id")
+    n = lab.groupBy("label").agg(F.count(F.lit(1)).alias("community_stores"), F.sum("flagged").alias("_f"))
+    x = leave_one_out(lab, ["label"], "chargeback_pct", "community_chargeback").join(n, "label")
+    return x.select(F.col("id").alias("store"), "community_stores", "community_chargeback", (F.col("_f") - F.col("flagged")).alias("community_flagged"))

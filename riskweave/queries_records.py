@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -405,3 +407,68 @@ def mention_assembly(spark: SparkSession, d: str) -> DataFrame:
     rest = [none("name"), none("address"), none("phone"), F.col("o_orderpriority").alias("email")]
     m = linkage.mentions({"a": read(spark, d, "customer").select(doc("c_custkey"), F.col("c_name").alias("name"), none("address"), none("phone"), F.col("c_mktsegment").alias("email")), "b": o.select(doc("o_custkey"), *rest), "c": o.where("o_orderstatus = 'F'").select(doc("o_custkey"), *rest)})
     return m.agg(F.count(F.lit(1)).alias("mentions"), F.sum("occurrences").alias("occurrences"), F.sum(F.size("sources").cast("long")).alias("source_marks"))
+
+
+# ---- sinks and generated data -----------------------------------------------
+
+
+@R.add("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def partitioned_write(spark: SparkSession, d: str) -> DataFrame:
+    """Orders written by status as directories and read back."""
+    from riskweave.runtime import shared_dir
+
+    at = f"{shared_dir(spark)}/by-status-{uuid.uuid4().hex[:12]}"
+    read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus").write.partitionBy("o_orderstatus").parquet(at)
+    return spark.read.parquet(at).select("o_orderkey", "o_totalprice", F.col("o_orderstatus").cast("string").alias("o_orderstatus"))
+
+
+@R.add("SELECT CAST(count(*) * 2 AS BIGINT) AS rows, count(*) AS reprocessed, count(DISTINCT s_suppkey) AS hashes FROM supplier")
+def load_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers with load-control columns, all delivered again by a reprocessed file."""
+    x = tables.reprocessed(tables.with_load_columns(read(spark, d, "supplier"), "2025-09-02", "SUP_20250901.csv.gz"), 1.0, 5)
+    return x.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("nm_arqv_orgm").contains("REPROC"), 1)).alias("reprocessed"), F.countDistinct("cd_hash_linha").alias("hashes"))
+
+
+@R.add("SELECT o_custkey % 97 AS nu_ec, CAST(count(*) AS DOUBLE) AS advance_count FROM orders GROUP BY 1")
+def advance_features(spark: SparkSession, d: str) -> DataFrame:
+    from riskweave.operators.features import advance_features as per_store
+
+    return per_store(silver.advances(raw_advances(spark, d)))
+
+
+@R.add()
+def synthetic_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of generated stores with planted rings; the tables are not read."""
+    from riskweave.sources.synthetic import rings
+
+    return rings(spark, stores=400, people=4000, rings=10)[1]
+
+
+_DOC_RAWS = f"SELECT NU_DCMT AS raw FROM {HUB} UNION SELECT nu_oprc_cpf_ptdr_pld FROM {CARDS} UNION SELECT nu_cpf_ptdr_ecommerce FROM {CARDS} UNION SELECT nu_pix_cpf_cnpj_pgdr FROM {PIX} UNION SELECT nu_cpf_cnpj_recr FROM {PIX}"
+_ALL_CARDS = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id_unco ORDER BY dt_crga DESC NULLS LAST, qt_cnar_ordm DESC NULLS LAST, dt_oprc DESC NULLS LAST, hr_oprc DESC NULLS LAST) AS rn FROM {CARDS}) WHERE rn = 1 AND coalesce(vl_tste, 0) = 0 AND NOT contains(upper(coalesce(nm_estn, '')), 'TESTE') AND vl_trns > 0.01"
+
+
+def _edge_sql(name: str, source: str, src: str, dst: str, amount: str = "CAST(NULL AS DOUBLE)") -> str:
+    return f"SELECT '{name}' AS relation, {src} AS src, {dst} AS dst, {amount} AS amount FROM {source}"
+
+
+_EDGE_PARTS = " UNION ALL ".join([
+    _edge_sql("titular", "s", "'LOJA:' || nu_ec", "'DOC:' || document"), _edge_sql("recebe_em", "p", "'DOC:' || receiver", f"'CONTA:' || {sql_account('nu_ispb_recr', 'nu_agnc_recr', 'nu_cnta_recr')}", "vl_trns"),
+    _edge_sql("paga_com", "p", "'DOC:' || payer", f"'CONTA:' || {sql_account('nu_pix_ispb_pgdr', 'nu_pix_agnc_pgdr', 'nu_pix_cnta_pgdr')}", "vl_trns"), _edge_sql("usa_dispositivo", "p", "'DOC:' || payer", "'DISP:' || id_dspi"),
+    _edge_sql("portador", "cm", "'DOC:' || holder", "'CARTAO:' || nu_crto_tken"), _edge_sql("compra", "cm", "'CARTAO:' || nu_crto_tken", "'LOJA:' || id_estn", "vl_trns"), _edge_sql("pix", "p", "'DOC:' || payer", "'DOC:' || CASE WHEN in_acto = '1' THEN receiver END", "vl_trns"),
+    _edge_sql("entrega_em", "cm", "'DOC:' || holder", f"'END:' || {sql_address('tx_endr_enta_ecommerce')}"),
+])
+_BUILT = ("titular", "recebe_em", "paga_com", "usa_dispositivo", "portador", "compra", "pix", "entrega_em")
+
+
+@R.add(f"""WITH {sql_documents(_DOC_RAWS)}, dm AS MATERIALIZED (SELECT raw, doc FROM docs),
+ cm AS MATERIALIZED (SELECT x.*, dm.doc AS holder FROM ({_ALL_CARDS}) x LEFT JOIN dm ON dm.raw = coalesce(nu_oprc_cpf_ptdr_pld, nu_cpf_ptdr_ecommerce)),
+ p AS MATERIALIZED (SELECT x.*, a.doc AS payer, b.doc AS receiver FROM ({_PIX_ONCE}) x LEFT JOIN dm a ON a.raw = nu_pix_cpf_cnpj_pgdr LEFT JOIN dm b ON b.raw = nu_cpf_cnpj_recr),
+ s AS (SELECT NU_EC AS nu_ec, dm.doc AS document FROM ({_LAST}) h LEFT JOIN dm ON dm.raw = h.NU_DCMT),
+ e AS (SELECT relation, src, dst, count(*) AS qty, sum(amount) AS amount FROM ({_EDGE_PARTS}) WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst GROUP BY 1, 2, 3)
+ SELECT relation, count(*) AS edges, sum(qty) AS qty, round(sum(amount), 2) AS amount FROM e GROUP BY 1""")
+def graph_from_records(spark: SparkSession, d: str) -> DataFrame:
+    """The graph built from the raw tables, counted per relation."""
+    stores = silver.store_master(silver.monthly_hub(read(spark, d, HUB)))
+    e = silver.graph_edges(stores, silver.card_transactions(read(spark, d, CARDS)), silver.instant_payments(read(spark, d, PIX)))
+    return e.where(F.col("relation").isin(*_BUILT)).groupBy("relation").agg(F.count(F.lit(1)).alias("edges"), F.sum("qty").alias("qty"), F.round(F.sum("amount"), 2).alias("amount"))

@@ -505,3 +505,12 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
             one = risk.ranking_metrics(Cuts(spark, "scored").put(risk.score_with(model, rows).select("nu_ec", "label", "score")), "score", "label", "nu_ec").withColumn("model", F.lit(kind))
             out = one if out is None else out.unionByName(one)
     return out
+
+
+@R.add()
+def feature_importance(spark: SparkSession, d: str) -> DataFrame:
+    """The fifteen features that the trees use most."""
+    x, tabular, g = model_table(spark, d)
+    names = [*tabular, *g]
+    model = risk.boosted_trees(names, "label", rounds=ROUNDS).fit(risk.weighted(x, "label"))
+    return spark.createDataFrame(risk.importance(model, names), "feature string, importance double")
