@@ -373,25 +373,44 @@ def silver_reported(spark: SparkSession, d: str) -> DataFrame:
     return silver.reported_fraud(raw, silver.card_transactions(read(spark, d, CARDS))).select("id_unco_lynx", stamp("at").alias("at"), "nu_ec")
 
 
-_LISTS = {("psit", "crto"): "F", ("ngto", "ec"): "O", ("psit_atzd", "clnt"): "P"}
+#: Each of the nine lists is read from the orders of one status and some priorities.
+_LISTS = {(k, o): (status, digits) for k, status in (("psit", "F"), ("ngto", "O"), ("psit_atzd", "P")) for o, digits in (("crto", "12"), ("clnt", "3"), ("ec", "45"))}
 _AS_OF = "1996-01-01 00:00:00"
 
 
-@R.add(" UNION ALL ".join(
-    f"SELECT '{silver.LIST_KINDS[k]}' AS list_kind, '{silver.OBJECT_KINDS[o]}' AS object_kind, {'lpad(CAST(o_custkey AS VARCHAR), 11, chr(48))' if o == 'clnt' else 'CAST(o_custkey AS VARCHAR)'} AS object, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d %H:%M') AS entered, gone IS NULL OR gone > TIMESTAMP '{_AS_OF}' AS active FROM (SELECT DISTINCT o_custkey, o_orderdate, CASE WHEN o_custkey % 2 = 0 THEN o_orderdate + INTERVAL 30 DAY END AS gone FROM orders WHERE o_orderstatus = '{s}')"
-    for (k, o), s in _LISTS.items()
-))
-def watchlist_union(spark: SparkSession, d: str) -> DataFrame:
-    """Watch lists read from orders by status, with entry dates in two written forms and repeated loads."""
-    def listed(status: str) -> DataFrame:
+def _list_sql(kind: str, obj: str) -> str:
+    status, digits = _LISTS[kind, obj]
+    ident = "lpad(CAST(o_custkey AS VARCHAR), 11, '0')" if obj == "clnt" else "CAST(o_custkey AS VARCHAR)"
+    some = ", ".join(f"'{x}'" for x in digits)
+    return f"SELECT '{silver.LIST_KINDS[kind]}' AS list_kind, '{silver.OBJECT_KINDS[obj]}' AS object_kind, {ident} AS object, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d %H:%M') AS entered, gone IS NULL OR gone > TIMESTAMP '{_AS_OF}' AS active FROM (SELECT DISTINCT o_custkey, o_orderdate, CASE WHEN o_custkey % 2 = 0 THEN o_orderdate + INTERVAL 30 DAY END AS gone FROM orders WHERE o_orderstatus = '{status}' AND substr(o_orderpriority, 1, 1) IN ({some}))"
+
+
+_ALL_LISTS = " UNION ALL ".join(_list_sql(*k) for k in _LISTS)
+
+
+def lists(spark: SparkSession, d: str) -> DataFrame:
+    """The nine watch lists, with entry dates in two written forms and repeated loads."""
+
+    def listed(status: str, digits: str) -> DataFrame:
         form = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy HH:mm"))
         gone = F.when(F.col("o_custkey") % 2 == 0, F.date_format(F.col("o_orderdate") + F.expr("interval 30 days"), "yyyy-MM-dd HH:mm:ss"))
-        one = read(spark, d, "orders").where(F.col("o_orderstatus") == status).groupBy("o_custkey", "o_orderdate").agg(F.min("o_orderkey").alias("o_orderkey"))
+        mine = read(spark, d, "orders").where((F.col("o_orderstatus") == status) & F.substring("o_orderpriority", 1, 1).isin(*digits))
+        one = mine.groupBy("o_custkey", "o_orderdate").agg(F.min("o_orderkey").alias("o_orderkey"))
         x = one.select(F.col("o_custkey").alias("id_objt_prcp"), form.alias("dt_etra_lsta"), gone.alias("dt_sada_lsta"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("dt_crga"))
         return x.unionByName(x)
 
-    u = silver.watch_lists({k: listed(s) for k, s in _LISTS.items()}, F.lit(_AS_OF).cast("timestamp"))
-    return u.select("list_kind", "object_kind", "object", F.date_format("entered", "yyyy-MM-dd HH:mm").alias("entered"), "active")
+    return silver.watch_lists({k: listed(*v) for k, v in _LISTS.items()}, F.lit(_AS_OF).cast("timestamp"))
+
+
+@R.add(_ALL_LISTS)
+def watchlist_union(spark: SparkSession, d: str) -> DataFrame:
+    return lists(spark, d).select("list_kind", "object_kind", "object", F.date_format("entered", "yyyy-MM-dd HH:mm").alias("entered"), "active")
+
+
+@R.add(f"SELECT DISTINCT CAST(object AS BIGINT) AS nu_ec, 1 AS flagged FROM ({_ALL_LISTS}) WHERE list_kind = 'NEGATIVA' AND object_kind = 'EC' AND active")
+def flagged_stores(spark: SparkSession, d: str) -> DataFrame:
+    """Stores on an active negative list."""
+    return silver.flagged_stores(lists(spark, d))
 
 
 @R.add("SELECT count(*) AS mentions, sum(n) AS occurrences, sum(k) AS source_marks FROM (SELECT document, name, address, phone, email, count(*) AS n, count(DISTINCT source) AS k FROM (" + " UNION ALL ".join([

@@ -172,3 +172,13 @@ def test_network_view_of_the_ring(spark, ring):
     assert places["LOJA:1"] == 0 and places["LOJA:3"] == 1
     totals = {x["entity"]: (x["sent"], x["received"]) for x in view.flow_totals(df, "LOJA:1").collect()}
     assert totals["LOJA:1"] == (10500.0, 11000.0)
+
+
+def test_vertices_are_completed_with_the_most_mentioned_name(spark, ring):
+    from riskweave.plans.silver import graph_vertices
+
+    stores = spark.createDataFrame([(1, "ONE", "r1", 0, 0.5)], "nu_ec long, name string, root string, flagged int, chargeback_pct double")
+    said = spark.createDataFrame([("1", "ANA", 2), ("1", "ANNA", 1), ("2", None, 9)], "document string, name string, occurrences long")
+    got = {r["id"]: r for r in graph_vertices(stores, ring.edges, said).collect()}
+    assert got["LOJA:1"]["name"] == "ONE" and got["DOC:1"]["name"] == "ANA" and got["DOC:2"]["name"] == "2" and got["CONTA:1"]["type"] == "CONTA"
+    assert set(got) == {x for r in RING for x in r[:2]}
