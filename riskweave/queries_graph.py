@@ -434,3 +434,12 @@ def community_stats(spark: SparkSession, d: str) -> DataFrame:
     n = lab.groupBy("label").agg(F.count(F.lit(1)).alias("community_stores"), F.sum("flagged").alias("_f"))
     x = leave_one_out(lab, ["label"], "chargeback_pct", "community_chargeback").join(n, "label")
     return x.select(F.col("id").alias("store"), "community_stores", "community_chargeback", (F.col("_f") - F.col("flagged")).alias("community_flagged"))
+
+
+R.typed("edge_stats", qty="BIGINT")
+R.typed("degrees", in_degree="BIGINT", out_degree="BIGINT")
+R.typed("graph_resolve", qty="BIGINT")
+R.typed("component_stats", flagged_stores="BIGINT")
+R.typed("store_components", others_flagged="BIGINT")
+R.typed("motif_flags", cycles="BIGINT")
+R.typed("graph_features", others_flagged="BIGINT", cycles="BIGINT")

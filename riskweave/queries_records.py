@@ -491,3 +491,7 @@ def graph_from_records(spark: SparkSession, d: str) -> DataFrame:
     stores = silver.store_master(silver.monthly_hub(read(spark, d, HUB)))
     e = silver.graph_edges(stores, silver.card_transactions(read(spark, d, CARDS)), silver.instant_payments(read(spark, d, PIX)))
     return e.where(F.col("relation").isin(*_BUILT)).groupBy("relation").agg(F.count(F.lit(1)).alias("edges"), F.sum("qty").alias("qty"), F.round(F.sum("amount"), 2).alias("amount"))
+
+
+R.typed("mention_assembly", occurrences="BIGINT", source_marks="BIGINT")
+R.typed("graph_from_records", qty="BIGINT")

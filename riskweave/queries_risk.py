@@ -514,3 +514,14 @@ def feature_importance(spark: SparkSession, d: str) -> DataFrame:
     names = [*tabular, *g]
     model = risk.boosted_trees(names, "label", rounds=ROUNDS).fit(risk.weighted(x, "label"))
     return spark.createDataFrame(risk.importance(model, names), "feature string, importance double")
+
+
+R.typed("tabular_features", age_days="DOUBLE", alert="DOUBLE", ecommerce="DOUBLE")
+R.typed("kpis", new_suspects="BIGINT", flagged="BIGINT")
+R.typed("merchant_card", others_flagged="BIGINT")
+R.typed("band_by_industry", new_suspects="BIGINT", flagged="BIGINT")
+R.typed("network_levels", stores="BIGINT", people="BIGINT", flagged_stores="BIGINT")
+R.typed("network_flows", qty="BIGINT")
+R.typed("network_store_order", place="INTEGER")
+R.typed("network_attribute_order", place="INTEGER")
+R.typed("network_signals", stores="BIGINT", people="BIGINT")

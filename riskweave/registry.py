@@ -24,3 +24,8 @@ class Registry:
             return f
 
         return put
+
+    def typed(self, name: str, **types: str) -> None:
+        """Gives columns of a query's SQL the types that the query has (sums are wider there)."""
+        some = ", ".join(f'CAST("{c}" AS {t}) AS "{c}"' for c, t in types.items())
+        self.sql[name] = f"SELECT * REPLACE ({some}) FROM ({self.sql[name]})"
