@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.runtime import apart
+
 
 def message_records(cards: DataFrame, prefix: str, column: str) -> DataFrame:
     """rec, text: one record per message; of copies that differ the first loaded with a text counts."""
@@ -26,7 +28,7 @@ def lookup(forms: DataFrame, looks: Column, index: DataFrame) -> DataFrame:
     it has keys, however many entities share one.
     """
     keys = forms.select("fid", F.explode(looks).alias("k"))
-    return keys.join(index, "k").groupBy("fid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return apart(keys).join(index, "k").groupBy("fid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def index_of(entities: DataFrame, emits: Column, entity: str = "e") -> DataFrame:
@@ -43,8 +45,8 @@ def differing_pairs(records: DataFrame, texts: DataFrame, group: str, form: list
     """
     t = texts.select(F.col(group).alias("_g"), *form)
     side = lambda s: t.select("_g", *[F.col(c).alias(f"{c}{s}") for c in form])
-    met = side("1").join(side("2"), "_g").where(F.col("text1") < F.col("text2")).drop("_g")
+    met = apart(side("1")).join(side("2"), "_g").where(F.col("text1") < F.col("text2")).drop("_g")
     r = records.select("rec", *form)
     for s in "12":
-        met = met.join(r.select(F.col("rec").alias(f"rec{s}"), *[F.col(c).alias(f"{c}{s}") for c in form]), [f"{c}{s}" for c in form]).drop(*[f"{c}{s}" for c in form])
+        met = apart(met).join(r.select(F.col("rec").alias(f"rec{s}"), *[F.col(c).alias(f"{c}{s}") for c in form]), [f"{c}{s}" for c in form]).drop(*[f"{c}{s}" for c in form])
     return met.select(F.least("rec1", "rec2").alias("rec_a"), F.greatest("rec1", "rec2").alias("rec_b"))

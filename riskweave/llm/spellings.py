@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.runtime import Cuts
+from riskweave.runtime import Cuts, apart
 
 #: Shortest word that may be a misspelling of another.
 SHORTEST = 5
@@ -141,14 +141,14 @@ def stars(words: DataFrame, edges: DataFrame, cuts: Cuts) -> DataFrame:
     e, last = edges, None
     while not e.isEmpty():
         below = e.select(F.col("a").alias("b")).distinct()
-        hit = e.join(below, "b", "left_anti")  # b has nothing better left: a center
+        hit = apart(e).join(below, "b", "left_anti")  # b has nothing better left: a center
         near = F.struct((-F.col("d")).alias("d"), F.col("nb").alias("n"), F.col("b").alias("w"))
         best = hit.groupBy("a").agg(F.max(near).alias("_t"), F.collect_set(F.struct("d", F.col("b").alias("w"))).alias("_s"))
         others = F.transform(F.filter("_s", lambda x: (x["d"] == -F.col("_t.d")) & (x["w"] != F.col("_t.w"))), lambda x: x["w"])
         sat = cuts.put(best.select(F.col("a").alias("w"), F.col("_t.w").alias("center"), others.alias("others")))
         done.append(sat)
         gone = sat.select(F.col("w").alias("a"))
-        e = cuts.put(e.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti"))
+        e = cuts.put(apart(apart(e).join(gone, "a", "left_anti")).join(gone.withColumnRenamed("a", "b"), "b", "left_anti"))
         if last is not None:
             cuts.drop(last)
         last = e
@@ -182,7 +182,7 @@ def misspellings(
     lo, hi = (k.select("k", *[F.col(x).alias(x + s) for x in ("w", "n")]) for s in "ab")
     na, nb = F.col("na"), F.col("nb")
     above = (na < FIXED) & ((na <= 2) | (nb >= na * rarer)) & ((nb > na) | ((nb == na) & (F.col("wb") > F.col("wa"))))
-    met = lo.join(hi, "k").where(above & (F.abs(F.length("wa") - F.length("wb")) <= 3)).select(F.col("wa").alias("a"), F.col("wb").alias("b"), "nb")
+    met = apart(lo).join(hi, "k").where(above & (F.abs(F.length("wa") - F.length("wb")) <= 3)).select(F.col("wa").alias("a"), F.col("wb").alias("b"), "nb")
     edges = cuts.put(met.withColumn("d", near(F.col("a"), F.col("b"))).where(F.col("d").isNotNull()).distinct())
     out = stars(counts, edges, cuts)
     cuts.drop(edges)

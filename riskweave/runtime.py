@@ -89,6 +89,16 @@ class Cuts:
         remove(self.spark, *(f._cut_path for f in frames if hasattr(f, "_cut_path")))
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """The frame, its join a sort-merge join whatever its estimated size.
+
+    For sides that grow with the data: Spark takes their size from compressed
+    files and leaves out the rows that ``explode`` or a Python function adds, so
+    a vocabulary of a few hundred kB goes to the driver as all its keys.
+    """
+    return df.hint("merge")
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame; an upper-bound style guess, exact for files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

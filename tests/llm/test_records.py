@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from riskweave.llm import names, places
 from riskweave.llm.namegrammar import describe, name_words
-from riskweave.llm.spellings import choose_bands, collision, misspellings, typing_errors, with_band_keys, with_deletion_keys
+from riskweave.llm.spellings import choose_bands, collision, few_edits, misspellings, typing_errors, with_band_keys, with_deletion_keys
 from riskweave.runtime import Cuts, session
 
 
@@ -91,3 +91,24 @@ def test_stars_hang_on_centers_only(spark):
     assert got["TRELFONSX"] == "TRELFONSO" and got["DERRIRNOHTO"] == "DERRIRNHOTO" and "ABD" not in got
     assert set(got.values()) & set(got) == set()
     assert misspellings(words.limit(0), cuts, with_deletion_keys).count() == 0
+
+
+def test_keys_never_go_to_the_driver(spark, monkeypatch):
+    """A few words have many keys; their join is no broadcast, small as the file of the words is."""
+    plans, put = [], Cuts.put
+    monkeypatch.setattr(Cuts, "put", lambda self, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), put(self, df))[1])
+    words = put(Cuts(spark, "test"), spark.createDataFrame([("TRELFONSO", 20), ("TRELFONSX", 1), ("DERRIRNHOTO", 5)], "w string, n long"))
+    for keyed in (with_deletion_keys, lambda w: with_band_keys(w, 40, 2)):
+        plans.clear()
+        assert {r["w"] for r in misspellings(words, Cuts(spark, "test"), keyed, few_edits).collect()} == {"TRELFONSX"}
+        assert len(plans) > 1 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_streets_and_localities_stay_with_the_executors(spark, monkeypatch):
+    """Only the known localities, found by place or store, may be broadcast."""
+    plans, put = [], Cuts.put
+    monkeypatch.setattr(Cuts, "put", lambda self, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), put(self, df))[1])
+    cards = _cards(spark, [("R. A. TRELFONSO 12 AP 3", "Rua Ana Trelfnoso, 12 - 11111222", None, None)])
+    assert places.same_location_pairs(_hub(spark), cards).count() == 3
+    joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
+    assert all("[p#" in j or "[hint#" in j for j in joins), joins
