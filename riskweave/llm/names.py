@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from riskweave.llm.linked import differing_pairs, index_of, latest_stores, lookup, message_records
 from riskweave.llm.namegrammar import GIVEN, KNOWN, LINKS, NICKNAMES, describe, monge_elkan, name_words
 from riskweave.llm.spellings import SHORTEST, choose_bands, deletion_keys, misspellings, stars, typing_errors, with_band_keys
-from riskweave.runtime import Cuts
+from riskweave.runtime import Cuts, apart
 
 #: Least Monge-Elkan similarity of a name and the center of its star.
 VERIFIED = 0.7
@@ -92,8 +92,8 @@ def described(records: DataFrame, cuts: Cuts) -> DataFrame:
     split = run_ons(vocabulary, vocabulary.join(wrong, "w", "left_anti"))
     changes = cuts.put(wrong.select("w", F.array("center").alias("parts"), "others").unionByName(split.withColumn("others", F.expr("cast(array() as array<string>)"))))
     open_words = texts.select("text", F.posexplode("words").alias("pos", "w")).where((F.length("w") >= 5) & ~F.col("w").isin(sorted(KNOWN)))
-    changed = open_words.join(changes, "w").groupBy("text").agg(F.collect_list(F.struct("pos", F.col("parts").alias("to"), "others")).alias("changes"))
-    out = texts.join(changed, "text", "left").select("text", "n", "words", "changes")
+    changed = apart(open_words).join(changes, "w").groupBy("text").agg(F.collect_list(F.struct("pos", F.col("parts").alias("to"), "others")).alias("changes"))
+    out = apart(texts).join(changed, "text", "left").select("text", "n", "words", "changes")
     return out.mapInArrow(_described, "text string, n long, words array<string>, kind string, key string, first string, second string, third string, firsts array<string>, keys array<string>").where(F.col("kind").isNotNull())
 
 
@@ -108,7 +108,7 @@ def with_key(p: DataFrame) -> DataFrame:
     first, second = F.when(F.col("kind") == "P", F.substring("first", 1, 1)), F.when(F.col("kind") == "P", F.substring("second", 1, 1)).otherwise(F.col("first"))
     at = lambda df: df.select("*", F.coalesce(first, F.lit("")).alias("_1"), second.alias("_2"))
     have = at(sure).groupBy("kind", "key", "_1").agg(F.collect_set("_2").alias("_have"), F.max(F.col("_2").isNull()).alias("_bare"))
-    tried = at(open_).select("text", "kind", "_1", "_2", F.col("key").alias("_best"), F.explode("keys").alias("key")).join(have, ["kind", "key", "_1"], "left")
+    tried = at(open_).select("text", "kind", "_1", "_2", F.col("key").alias("_best"), F.explode("keys").alias("key")).transform(apart).join(have, ["kind", "key", "_1"], "left")
     score = F.when(F.col("_have").isNull(), 0).when(F.col("_2").isNull() | F.col("_bare") | F.array_contains("_have", F.col("_2")), 2).otherwise(1)
     chosen = tried.groupBy("text").agg(F.max(F.struct(score.alias("s"), (F.col("key") == F.col("_best")).alias("b"), "key")).alias("_t")).select("text", F.col("_t.key").alias("_key"))
     return sure.drop("keys").unionByName(open_.drop("keys").join(chosen, "text").withColumn("key", F.col("_key")).drop("_key"))
@@ -132,7 +132,7 @@ def _person_looks(g: Column) -> Column:
 
 def _settle(forms: DataFrame, got: DataFrame, fresh: Column) -> DataFrame:
     """Adds ``e``: the one entity found, a fresh one where none was, null where several were; ``new`` marks fresh ones."""
-    j = forms.join(got, "fid", "left")
+    j = apart(forms).join(got, "fid", "left")
     return j.withColumn("e", F.when(F.col("lo").isNull(), fresh).when(F.col("lo") == F.col("hi"), F.col("lo"))).withColumn("new", F.col("lo").isNull()).drop("lo", "hi")
 
 
@@ -145,25 +145,29 @@ def _one_middle(a: DataFrame, cuts: Cuts) -> DataFrame:
     Candidates share the middle words less one letter, so no two persons meet by their key word alone.
     """
     n = a.groupBy("e").agg(F.count(F.lit(1)).alias("n"))
-    m = a.where(F.length("m") >= SHORTEST).select("e", "key", "g", "m").distinct().join(n, "e")
+    m = a.where(F.length("m") >= SHORTEST).select("e", "key", "g", "m").distinct().transform(apart).join(n, "e")
     m = m.select("e", "n", "m", F.explode(F.transform(deletion_keys(F.col("m")), lambda h: F.concat_ws("|", "key", "g", h.cast("string")))).alias("k"))
     lo, hi = (m.select("k", *[F.col(c).alias(c + s) for c in ("e", "n", "m")]) for s in ("a", "b"))
     up = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("eb") > F.col("ea")))
-    met = lo.join(hi, "k").where(up & (F.col("ea") != F.col("eb"))).withColumn("d", typing_errors(F.col("ma"), F.col("mb"))).where(F.col("d").isNotNull())
+    met = apart(lo).join(hi, "k").where(up & (F.col("ea") != F.col("eb"))).withColumn("d", typing_errors(F.col("ma"), F.col("mb"))).where(F.col("d").isNotNull())
     edges = cuts.put(met.select(F.col("ea").alias("a"), F.col("eb").alias("b"), "nb", "d").groupBy("a", "b").agg(F.max("nb").alias("nb"), F.min("d").alias("d")))
     return stars(a.select(F.col("e").alias("w")), edges, cuts).select(F.col("w").alias("e"), F.col("center").alias("to"))
 
 
 def _full_persons(forms: DataFrame, cuts: Cuts) -> DataFrame:
-    """Stars of names with one given word ``g``: full middle words, then their initials, then none."""
+    """Stars of names with one given word ``g``: full middle words, then their initials, then none.
+
+    Each step is written, since the next ones read it several times and the
+    driver holds the plan of all that is not.
+    """
     g = F.col("g")
     a = forms.where("mfull").withColumn("e", _under(F.col("key"), g, F.col("mc"))).withColumn("new", F.lit(True))
-    a = a.join(_one_middle(a, cuts), "e", "left").withColumn("e", F.coalesce("to", "e")).drop("to").select(*forms.columns, "e", "new")
+    a = cuts.put(apart(a).join(_one_middle(a, cuts), "e", "left").withColumn("e", F.coalesce("to", "e")).drop("to").select(*forms.columns, "e", "new"))
     b = _settle(forms.where("ml is not null and not mfull"), lookup(forms.where("ml is not null and not mfull"), F.array(_under(F.col("key"), g, "I", F.col("ml"))), index_of(a, _person_keys(g))), _under(F.col("key"), g, F.concat("ml", F.lit("."))))
-    ab = a.unionByName(b)
+    ab = a.unionByName(cuts.put(b))
     none = forms.where("ml is null")
     c = _settle(none, lookup(none, F.array(_under(F.col("key"), g, "*")), index_of(ab.where("new"), _person_keys(g))), _under(F.col("key"), g, ""))
-    return ab.unionByName(c)
+    return ab.unionByName(cuts.put(c))
 
 
 def persons(p: DataFrame, cuts: Cuts) -> DataFrame:
@@ -178,7 +182,7 @@ def persons(p: DataFrame, cuts: Cuts) -> DataFrame:
         F.substring("second", 1, 1).alias("ml"), F.coalesce(F.length(F.split("second", " ")[0]) > 1, F.lit(False)).alias("mfull"), "first",
     )
     f = cuts.put(f)
-    one = cuts.put(_full_persons(f.where("g is not null").select(_FORM), cuts))
+    one = _full_persons(f.where("g is not null").select(_FORM), cuts)
     known = one.where("new")
     short = f.where("g is null")
     by_name = index_of(known, _person_keys(F.col("g")))
@@ -203,10 +207,10 @@ def organisations(p: DataFrame, cuts: Cuts) -> DataFrame:
     name = _under(k, F.coalesce(t, F.lit("")), F.coalesce(a, F.lit("")))
     full = f.where(t.isNotNull() & a.isNotNull()).withColumn("e", name).withColumn("new", F.lit(True))
     x = f.where(t.isNotNull() & a.isNull())
-    trade = _settle(x, lookup(x, F.array(_under(k, t, "*")), index_of(full, emits)), name)
+    trade = cuts.put(_settle(x, lookup(x, F.array(_under(k, t, "*")), index_of(full, emits)), name))
     ft = full.unionByName(trade)
     x = f.where(t.isNull() & a.isNotNull())
-    addition = _settle(x, lookup(x, F.array(_under(k, "*", a), _under(k, "*", "-")), index_of(ft.where("new"), emits)), name)
+    addition = cuts.put(_settle(x, lookup(x, F.array(_under(k, "*", a), _under(k, "*", "-")), index_of(ft.where("new"), emits)), name))
     fta = ft.unionByName(addition)
     x = f.where(t.isNull() & a.isNull())
     bare = _settle(x, lookup(x, F.array(_under(k, "*", "*")), index_of(fta.where("new"), emits)), name)
@@ -224,9 +228,9 @@ def named_texts(records: DataFrame, cuts: Cuts) -> DataFrame:
     fid = F.concat_ws("|", "kind", "key", F.coalesce("first", F.lit("")), F.coalesce("second", F.lit("")), F.coalesce("third", F.lit("")))
     p = cuts.put(with_key(cuts.put(described(records, cuts))).withColumn("fid", fid))
     e = cuts.put(persons(p, cuts).unionByName(organisations(p, cuts)).where(F.col("e").isNotNull()))
-    j = cuts.put(p.join(e, "fid").select("text", "n", "words", "e"))
+    j = cuts.put(apart(p).join(e, "fid").select("text", "n", "words", "e"))
     center = j.groupBy("e").agg(F.max(F.struct(F.size("words").alias("s"), "n", "words")).alias("_c")).select("e", F.col("_c.words").alias("center"))
-    return j.join(center, "e").select("text", "e", "words", "center").mapInArrow(_verified, "text string, e string")
+    return apart(j).join(center, "e").select("text", "e", "words", "center").mapInArrow(_verified, "text string, e string")
 
 
 def same_name_pairs(hub: DataFrame, cards: DataFrame) -> DataFrame:

@@ -112,3 +112,12 @@ def test_streets_and_localities_stay_with_the_executors(spark, monkeypatch):
     assert places.same_location_pairs(_hub(spark), cards).count() == 3
     joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
     assert all("[p#" in j or "[hint#" in j for j in joins), joins
+
+
+def test_plans_of_names_stay_small(spark, monkeypatch):
+    """The driver holds a plan and its versions whole, so persons and organisations are written step by step."""
+    plans, put = [], Cuts.put
+    monkeypatch.setattr(Cuts, "put", lambda self, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), put(self, df))[1])
+    cards = _cards(spark, [(None, None, "Sebastião de Jarmposo Derrirnhoto", "S. JARMPOSO DERRIRNHOTO")])
+    assert names.same_name_pairs(_hub(spark), cards).count() == 1
+    assert max(p.count("Join ") for p in plans) <= 8
